@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gossamer.llm import line_dedup, mpeg, simhash, url_rules
+from gossamer.llm import bpe, decontaminate, line_dedup, mpeg, simhash, token_counts, url_rules
 from gossamer.llm.common import table
 
+#: Where the vocabulary files are.
+TOKENIZERS = "/opt/tokenizers"
+VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
+
 #: (host, path, verdict) of the URL query.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -31,11 +35,30 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str, path: str = VOCABULARY) -> DataFrame:
+    vocabulary = bpe.Vocabulary(spark, path)
+    ids = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text")
+    out = bpe.decoded(ids.withColumn("ids_sha256", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)), vocabulary)
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str, path: str = VOCABULARY, limit: int = 1024) -> DataFrame:
+    out = token_counts.token_counts(table(spark, sf_dir, "documents"), bpe.Vocabulary(spark, path))
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
     "op3_media": op3_media,
     "op7_url_filter": op7_url_filter,
+    "op8_bpe": op8_bpe,
+    "op9_token_counts": op9_token_counts,
+    "op10_decontamination": op10_decontamination,
 }
 
 _KEY = "translate(trim(line, E' \\t\\n\\x0b\\x0c\\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
