@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gossamer.llm import bpe, decontaminate, line_dedup, mpeg, simhash, token_counts, url_rules
+from gossamer.llm import bpe, decontaminate, line_dedup, lm_scoring, mpeg, quality, simhash, token_counts, toxicity, url_rules
 from gossamer.llm.common import table
+from gossamer.llm.labelled import held_out
 
 #: Where the vocabulary files are.
 TOKENIZERS = "/opt/tokenizers"
@@ -30,6 +31,24 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.media_features(mpeg.with_media(table(spark, sf_dir, "documents")))
 
 
+def _judged(df: DataFrame, threshold: float) -> DataFrame:
+    return df.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _judged(toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), 0.5)
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _judged(quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -55,6 +74,9 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
     "op3_media": op3_media,
+    "op4_toxicity": op4_toxicity,
+    "op5_lm_scoring": op5_lm_scoring,
+    "op6_quality": op6_quality,
     "op7_url_filter": op7_url_filter,
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
