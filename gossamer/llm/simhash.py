@@ -184,3 +184,87 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, text: str = "text",
     best = known.groupBy("root").agg(F.min("first").alias("component_id"))
     named = known.join(best, "root").select("fingerprint", "component_id")
     return prints.join(named, "fingerprint").select(doc_id, "fingerprint", "component_id")
+
+
+# ------------------------------------------------------------------------ near copies of lesser likeness
+#
+# Texts whose five-word shingles have a similarity of 0.8 differ in about 15 % of a fingerprint's bits, far
+# beyond two of 64. They share nearly all their words, though. So the index takes a fingerprint of eight
+# 32-bit segments over the distinct words, with the Hamming ball of radius one around each segment (any two
+# within 15 of 256 bits have a segment within one bit; measured, it also meets 98 % of the pairs of similarity
+# 0.8 that lie further apart), and candidates are verified by the complete distance of both that
+# fingerprint and one of 512 bits over the five-word shingles.
+
+WORD_BITS, SHINGLE_BITS = 256, 512
+SEGMENTS = WORD_BITS // 32
+#: Bits that may differ. For the shingles: the 78 that a similarity of 0.8 gives, and 1.6 standard deviations.
+WORD_APART, SHINGLE_APART = 40, 91
+
+
+def _bits(grams: list[bytes], bits: int) -> np.ndarray:
+    ones = np.zeros(bits, np.int64)
+    for k in range(0, len(grams), BLOCK):
+        part = grams[k : k + BLOCK]
+        raw = b"".join(xxhash.xxh3_128_digest(g, s) for g in part for s in range(bits // 128))
+        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(part), bits // 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(grams), bitorder="little")
+
+
+def wide_fingerprint(text: bytes, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(segments over distinct words, 64-bit parts over distinct shingles); a text without words has zeros."""
+    words = text.lower().split()
+    grams = {b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))} if words else set()
+    return _bits(sorted(set(words)), WORD_BITS).view(np.uint32).astype(np.int64), _bits(sorted(grams), SHINGLE_BITS).view(np.int64)
+
+
+def _far(a: str, b: str):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def similar_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(a, b) ids of ``prints`` (id, words, shingles) that are near copies.
+
+    Where more than ``crowd`` rows have one segment value, they are compared with the smallest id there, and
+    with the smallest of those that share a second segment, in place of each other.
+    """
+    members = prints.select("id", F.posexplode("words").alias("seg", "val")).select("id", (F.col("seg").cast("long") * (1 << 32) + F.col("val")).alias("key"))
+    hot = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key")
+    cold, crowded = members.join(hot, "key", "left_anti"), members.join(hot, "key", "left_semi")
+    heads = crowded.groupBy("key").agg(F.min("id").alias("b"))
+    table_ = cold.withColumnRenamed("id", "b").unionByName(heads)
+    flips = F.array(*(F.lit(1 << k) for k in range(32)))
+    ball = F.transform(F.filter(F.transform(flips, lambda m: F.col("val").bitwiseOR(m)), lambda v: v != F.col("val")), lambda v: F.col("seg").cast("long") * (1 << 32) + v)
+    probes = prints.select("id", F.posexplode("words").alias("seg", "val")).select(F.col("id").alias("a"), F.explode(ball).alias("key"))
+    pairs = [probes.join(table_, "key").select("a", "b"), cold.withColumnRenamed("id", "a").join(cold.withColumnRenamed("id", "b"), "key").where("a > b").select("a", "b")]
+    pairs.append(crowded.withColumnRenamed("id", "a").join(heads, "key").select("a", "b"))
+    second = crowded.join(prints.select("id", F.posexplode("words").alias("seg", "val")), "id").select(F.col("id").alias("a"), "key", "seg", "val")
+    second_heads = second.groupBy("key", "seg", "val").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs.append(second.join(second_heads, ["key", "seg", "val"]).select("a", "b"))
+    every = pairs[0]
+    for p in pairs[1:]:
+        every = every.unionByName(p)
+    every = written(every.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "similar-candidates")
+    side = lambda n: prints.select(F.col("id").alias(n), F.col("words").alias(f"words_{n}"), F.col("shingles").alias(f"shingles_{n}"))
+    met = every.join(side("a"), "a").join(side("b"), "b")
+    return met.where((_far("words_a", "words_b") <= WORD_APART) & (_far("shingles_a", "shingles_b") <= SHINGLE_APART)).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, text: str = "text", doc_id: str = "doc_id", crowd: int = CROWD) -> DataFrame:
+    """(doc_id, component_id) by near copies: shingles of five words, similarity of 0.8 or more.
+
+    Rows without an id are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [wide_fingerprint(t, shingle) for t in utf8(batch.column(1))]
+            cols = [pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([x[k] for x in both])), n).cast(pa.list_(pa.int64())) for k, n in ((0, SEGMENTS), (1, SHINGLE_BITS // 64))] if both else [pa.array([], pa.list_(pa.int64()))] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *cols], names=["doc_id", "words", "shingles"])
+
+    rows = docs.where(F.col(doc_id).isNotNull()).select(doc_id, text).mapInArrow(run, "doc_id long, words array<long>, shingles array<long>")
+    rows = written(rows, "wide-fingerprints")
+    distinct = written(rows.groupBy("words", "shingles").agg(F.min("doc_id").alias("id")), "wide-distinct")
+    roots = components(similar_links(distinct, crowd))
+    named = distinct.join(roots, F.col("id") == F.col("node"), "left").select("words", "shingles", F.coalesce("root", "id").alias("component_id"))
+    out = rows.join(named, ["words", "shingles"]).select("doc_id", "component_id")
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType)).withColumnRenamed("doc_id", doc_id)

@@ -64,3 +64,42 @@ def test_groups_with_edge_cases(docs):
     out = S.near_duplicate_groups(docs(texts, [5, 3, 9, 9, 2, 8])).collect()
     assert sorted((r.doc_id, r.component_id) for r in out) == [(2, 2), (3, 3), (5, 3), (8, 3), (9, 9), (9, 9)]
     assert S.near_duplicate_groups(docs([])).count() == 0
+
+
+def brute_similar(texts, least=0.8):
+    """Groups by exact similarity of five-word shingles."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def changed(words, share, r):
+    return " ".join(f"x{r.randrange(10**6)}" if r.random() < share else w for w in words)
+
+
+@pytest.mark.parametrize("crowd", [1, 32])
+def test_similar_groups(docs, crowd):
+    r = random.Random(8)
+    texts = []
+    for n in (60, 150, 400):
+        for _ in range(4):
+            words = [f"w{int(r.paretovariate(0.4)) % 5000}" for _ in range(n)]
+            texts += [" ".join(words)] + [changed(words, 0.012, r) for _ in range(4)] + [changed(words, 0.3, r)]
+    texts += ["", None, "short one", "short two", "short one"]
+    want, loose = brute_similar(texts), brute_similar(texts, 0.65)  # fingerprints estimate the similarity
+    got = {x.doc_id: x.component_id for x in S.similar_groups(docs(texts), crowd=crowd).collect()}
+    apart = [(i, j) for i in range(len(texts)) for j in range(i) if (want[i] == want[j]) and got[i] != got[j]]
+    wrong = [(i, j) for i in range(len(texts)) for j in range(i) if loose[i] != loose[j] and got[i] == got[j]]
+    linked = sum(want[i] == want[j] for i in range(len(texts)) for j in range(i))
+    assert len(apart) <= 0.05 * linked and not wrong
+    for k in range(12):  # heavily changed texts stay by themselves
+        assert got[6 * k + 5] == 6 * k + 5
+    assert got[73] == 72 and got[76] == 74 and got[75] == 75
