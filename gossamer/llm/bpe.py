@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from gossamer.llm.common import appended, extended
 
 #: Words a worker keeps the ids of; the transitions it keeps.
-WORDS, ARCS = 300_000, 2_000_000
+WORDS, ARCS = 120_000, 400_000
 #: The byte-level vocabularies' pattern, white space being the Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 

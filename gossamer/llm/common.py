@@ -16,6 +16,16 @@ SPACE = b" \t\n\x0b\x0c\r"
 
 _RUN = uuid.uuid4().hex
 
+#: Rows handed to a Python worker at once: with documents of some kilobytes, a few megabytes.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower Spark's rows per Arrow batch to ``BATCH_ROWS``; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
@@ -33,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/gossamer-{_RUN}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -46,6 +57,7 @@ def clear_written(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -63,6 +75,7 @@ def extended(schema: T.StructType, new: list[T.StructField], dropped: tuple[str,
 
 def appended(df: DataFrame, new: list[T.StructField], make, text: str = "text", dropped: tuple[str, ...] = ()) -> DataFrame:
     """Append columns that ``make(list of UTF-8 texts) -> list of arrow arrays`` computes batch by batch."""
+    small_batches(df.sparkSession)
     schema = extended(df.schema, new, dropped)
     keep = [f.name for f in schema.fields[: len(schema.fields) - len(new)]]
     names = [f.name for f in schema.fields]

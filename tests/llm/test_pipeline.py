@@ -3,7 +3,7 @@ from gossamer.llm import decontaminate as D
 from gossamer.llm import quality as Q
 from gossamer.llm import queries as R
 from tests.llm.test_line_dedup import brute as brute_lines
-from tests.llm.test_simhash import brute_similar
+from tests.llm.test_simhash import brute_wide
 
 
 def test_rows_match_brute_force(spark, sf):
@@ -15,7 +15,7 @@ def test_rows_match_brute_force(spark, sf):
     left = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
     left = [(i, t) for i, t in left if model.score(Q.statistics((t or "").encode())[None])[0] >= P.QUALITY_FLOOR]
     left = [(i, kept) for (i, _), (_, _, kept) in zip(left, brute_lines([t for _, t in left], 10, 1))]
-    first = brute_similar([t for _, t in left])
+    first = brute_wide([t for _, t in left])
     left = [row for k, row in enumerate(left) if first[k] == k]
     items = [b" ".join(D.lower(r.text.encode()).split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     left = [(i, t) for i, t in left if not any(x in b" ".join(D.lower(t.encode()).split()) for x in items)]

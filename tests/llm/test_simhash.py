@@ -103,3 +103,17 @@ def test_similar_groups(docs, crowd):
     for k in range(12):  # heavily changed texts stay by themselves
         assert got[6 * k + 5] == 6 * k + 5
     assert got[73] == 72 and got[76] == 74 and got[75] == 75
+
+
+def brute_wide(texts):
+    """Groups by the rule of the wide fingerprints, over all pairs."""
+    prints = [S.wide_fingerprint((t or "").encode()) for t in texts]
+    bits = lambda x, y: sum((int(a) ^ int(b)).bit_count() for a, b in zip(x.view(np.uint64), y.view(np.uint64)))
+    root = list(range(len(texts)))
+    for i, (w, s) in enumerate(prints):
+        for j in range(i):
+            v, u = prints[j]
+            if bits(w, v) <= S.WORD_APART and bits(s, u) <= S.SHINGLE_APART and any((int(a) ^ int(b)).bit_count() <= 1 for a, b in zip(w, v)):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
