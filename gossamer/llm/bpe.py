@@ -227,15 +227,20 @@ def ids_array(rows: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
-def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
-    """``docs`` with the columns ids and n_tokens."""
+def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", decode: bool = False) -> DataFrame:
+    """``docs`` with the columns ids and n_tokens, and with ``decode`` also decoded, from the ids.
+
+    Decoding in the same pass takes one Python worker a task where two operators in a row take two.
+    """
     sent = vocabulary.sent
     new = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]
+    new += [T.StructField("decoded", T.StringType())] * decode
 
     def run(texts: list[bytes]) -> list[pa.Array]:
-        encode = compiled(sent).encode
-        rows = [encode(t.decode("utf-8", "replace")) for t in texts]
-        return [ids_array(rows), pa.array([len(r) for r in rows], pa.int64())]
+        a = compiled(sent)
+        rows = [a.encode(t.decode("utf-8", "replace")) for t in texts]
+        out = [ids_array(rows), pa.array([len(r) for r in rows], pa.int64())]
+        return [*out, pa.array([a.decode(r).decode("utf-8", "replace") for r in rows], pa.string())] if decode else out
 
     return appended(docs, new, run, text)
 

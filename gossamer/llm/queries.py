@@ -56,8 +56,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe(spark: SparkSession, sf_dir: str, path: str = VOCABULARY) -> DataFrame:
     vocabulary = bpe.Vocabulary(spark, path)
-    ids = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text")
-    out = bpe.decoded(ids.withColumn("ids_sha256", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)), vocabulary)
+    out = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, decode=True)
+    out = out.withColumn("ids_sha256", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256))
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -203,8 +203,9 @@ WORD_APART, SHINGLE_APART = 40, 91
 
 def _bits(grams: list[bytes], bits: int) -> np.ndarray:
     ones = np.zeros(bits, np.int64)
-    for k in range(0, len(grams), BLOCK):
-        part = grams[k : k + BLOCK]
+    step = BLOCK // 8  # rows of some hundred bits
+    for k in range(0, len(grams), step):
+        part = grams[k : k + step]
         raw = b"".join(xxhash.xxh3_128_digest(g, s) for g in part for s in range(bits // 128))
         ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(part), bits // 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(2 * ones > len(grams), bitorder="little")

@@ -71,6 +71,7 @@ def test_operators(spark, docs, both):
     rows = B.decoded(B.encoded(d, v), v).orderBy("doc_id").collect()
     assert [r.ids for r in rows] == want and [r.decoded for r in rows] == [t or "" for t in TEXTS]
     assert [r.n_tokens for r in rows] == [len(x) for x in want]
+    assert B.encoded(d, v, decode=True).orderBy("doc_id").collect() == rows
     counted = C.token_counts(d.union(d.limit(3)), v).orderBy("doc_id").collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in counted) == sorted((i, len((TEXTS[i] or "").encode()), len(want[i])) for i in [*range(len(TEXTS)), 0, 1, 2])
     assert C.token_counts(docs([]), v).count() == 0 and B.encoded(docs([]), v).count() == 0
