@@ -199,23 +199,46 @@ WORD_BITS, SHINGLE_BITS = 256, 512
 SEGMENTS = WORD_BITS // 32
 #: Bits that may differ. For the shingles: the 78 that a similarity of 0.8 gives, and 1.6 standard deviations.
 WORD_APART, SHINGLE_APART = 40, 91
+#: Mixing constants (of the splitmix64 generator) and the factor of shingles; fixed values.
+_STEP, _MIX_1, _MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _bits(grams: list[bytes], bits: int) -> np.ndarray:
+def _ones(raw: np.ndarray) -> np.ndarray:
+    """How many rows of ``raw`` (n, bytes) have each bit; sums of 255 rows fit a byte."""
+    ones = np.zeros(8 * raw.shape[1], np.int64)
+    for k in range(0, len(raw), 255 * 16):
+        bits = np.unpackbits(raw[k : k + 255 * 16], axis=1, bitorder="little")
+        whole = len(bits) // 255 * 255
+        ones += np.add.reduce(bits[:whole].reshape(-1, 255, len(ones)), axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        ones += np.add.reduce(bits[whole:], axis=0, dtype=np.uint8)
+    return ones
+
+
+def _bits(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The majority of each bit over distinct hashes, every one of them drawn out to ``bits`` bits."""
     ones = np.zeros(bits, np.int64)
-    step = BLOCK // 8  # rows of some hundred bits
-    for k in range(0, len(grams), step):
-        part = grams[k : k + step]
-        raw = b"".join(xxhash.xxh3_128_digest(g, s) for g in part for s in range(bits // 128))
-        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(part), bits // 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(grams), bitorder="little")
+    lane = np.arange(1, bits // 64 + 1, dtype=np.uint64) * _STEP
+    for k in range(0, len(hashes), BLOCK // 8):
+        x = hashes[k : k + BLOCK // 8, None] + lane
+        x = (x ^ (x >> np.uint64(30))) * _MIX_1
+        x = (x ^ (x >> np.uint64(27))) * _MIX_2
+        ones += _ones((x ^ (x >> np.uint64(31))).view(np.uint8))
+    return np.packbits(2 * ones > len(hashes), bitorder="little")
 
 
 def wide_fingerprint(text: bytes, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(segments over distinct words, 64-bit parts over distinct shingles); a text without words has zeros."""
+    """(segments over distinct words, 64-bit parts over distinct shingles); a text without words has zeros.
+
+    A shingle's hash is a polynomial of its words' hashes; a shorter text is one shingle.
+    """
     words = text.lower().split()
-    grams = {b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))} if words else set()
-    return _bits(sorted(set(words)), WORD_BITS).view(np.uint32).astype(np.int64), _bits(sorted(grams), SHINGLE_BITS).view(np.int64)
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(own) - shingle + 1) if len(own) else 0
+    grams = np.zeros(n, np.uint64)
+    for k in range(min(shingle, len(own))):
+        grams = grams * _FACTOR + own[k : k + n]
+    return _bits(np.unique(own), WORD_BITS).view(np.uint32).astype(np.int64), _bits(np.unique(grams), SHINGLE_BITS).view(np.int64)
 
 
 def _far(a: str, b: str):
