@@ -188,20 +188,221 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, text: str = "text",
 
 # ------------------------------------------------------------------------ near copies of lesser likeness
 #
-# Texts whose five-word shingles have a similarity of 0.8 differ in about 15 % of a fingerprint's bits, far
-# beyond two of 64. They share nearly all their words, though. So the index takes a fingerprint of eight
-# 32-bit segments over the distinct words, with the Hamming ball of radius one around each segment (any two
-# within 15 of 256 bits have a segment within one bit; measured, it also meets 98 % of the pairs of similarity
-# 0.8 that lie further apart), and candidates are verified by the complete distance of both that
-# fingerprint and one of 512 bits over the five-word shingles.
+# Exact: two texts link if their sets of five-word shingles (64-bit hashes) have a similarity of 0.8 or more.
+# The search is a prefix filter. A set of n shingles can only reach the similarity with sets that share
+# need = ceil(0.8 n) of its shingles; so of any order of all shingles, its first n - need + 1 hold the first
+# one that the two share. Rare shingles go first: those of one text alone, which no candidate can meet, use
+# up most prefixes or all of them, and a text with fewer than ``need`` shingles found elsewhere has none.
+#
+# Hashes travel packed, a row a bucket, and are counted in arrays. Every candidate is verified by the size
+# of the intersection. At keys that more than ``crowd`` texts share, each meets the smallest of them first;
+# where that leaves more than one component, all rows of the key are compared in blocks.
+
+#: Similarity as a fraction.
+LEAST, OF = 4, 5
+#: Hashes that a task packs at once, hashes of a bucket, rows of a block.
+PACKED, BUCKET, SIDE = 1 << 19, 1 << 20, 256
+#: Factor of a shingle's polynomial.
+_FACTOR = np.uint64(0xD6E8FEB86659FD93)
+
+
+def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
+    """Distinct hashes of word shingles, sorted; a shorter text is one shingle, one without words has none.
+
+    A shingle's hash is a polynomial of its words' hashes.
+    """
+    words = text.lower().split()
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(own) - shingle + 1) if len(own) else 0
+    grams = np.zeros(n, np.uint64)
+    for k in range(min(shingle, len(own))):
+        grams = grams * _FACTOR + own[k : k + n]
+    return np.unique(grams)
+
+
+def _node(grams: np.ndarray) -> int:
+    """A set's own hash, signed: sets that are equal are one node."""
+    x = xxhash.xxh3_64_intdigest(grams.tobytes(), seed=SEED)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _packed(by: np.ndarray, buckets: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each bucket that ``by`` falls into, with the bytes of its part of each column."""
+    to = (by.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
+    order = np.argsort(to, kind="stable")
+    to = to[order]
+    at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
+    ends = [*at[1:], len(to)]
+    parts = [pa.array([c[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()) for c in (x[order] for x in columns)]
+    return pa.RecordBatch.from_arrays([pa.array(to[at].astype(np.int32)), *parts], names=["bucket", *(f"c{k}" for k in range(len(parts)))])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], kinds: list) -> list[np.ndarray]:
+    held: list[list[bytes]] = [[] for _ in kinds]
+    for batch in batches:
+        for k, h in enumerate(held):
+            h += batch.column(k + 1).to_pylist()
+    return [np.frombuffer(b"".join(h), kind) for h, kind in zip(held, kinds)]
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values start, and their lengths."""
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]]))
+    return at, np.diff(np.append(at, len(x)))
+
+
+def shingle_prefixes(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFrame:
+    """(node, n, k, shared): of each distinct set that can have a near copy its size, the length of its prefix
+    without the shingles of this text alone, and its shingles found elsewhere, rarest first."""
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // (5 * BUCKET)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[tuple[int, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            size = np.array([len(s) for _, s in held])
+            grams = np.concatenate([s for _, s in held])
+            return _packed(grams, buckets, [grams, np.repeat(np.array([x for x, _ in held], np.int64), size), np.repeat(size.astype(np.uint32), size)])
+
+        load = 0
+        for batch in batches:
+            for t in utf8(batch.column(0)):
+                grams = shingle_set(t, shingle)
+                node = _node(grams)
+                if len(grams) and node not in seen:
+                    if len(seen) > LOCAL:
+                        seen.clear()
+                    seen.add(node)
+                    held.append((node, grams))
+                    load += len(grams)
+                    if load > PACKED:
+                        yield flush()
+                        held, load = [], 0
+        if held:
+            yield flush()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, node, n = _unpacked(batches, [np.uint64, np.int64, np.uint32])
+        order = np.lexsort((node, grams))
+        grams, node, n = grams[order], node[order], n[order]
+        new = np.ones(len(grams), bool)  # tasks may have met the same set
+        new[1:] = (grams[1:] != grams[:-1]) | (node[1:] != node[:-1])
+        grams, node, n = grams[new], node[new], n[new]
+        _, times = _runs(grams)
+        found = np.repeat(times, times)
+        many = found > 1
+        if many.any():
+            grams, node, n, found = (x[many] for x in (grams, node, n, found.astype(np.int64)))
+            yield _packed(node, buckets, [grams, node, n, found])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, node, n, found = _unpacked(batches, [np.uint64, np.int64, np.uint32, np.int64])
+        order = np.lexsort((grams, found, node))
+        grams, node, n = grams[order].view(np.int64), node[order], n[order].astype(np.int64)
+        at, shared = _runs(node)
+        need = (LEAST * n[at] + OF - 1) // OF
+        able = shared >= need
+        for k in range(0, int(able.sum()), 1000):
+            a, m, d = (x[able][k : k + 1000] for x in (at, shared, need))
+            lists = pa.array([grams[i : i + j] for i, j in zip(a, m)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(n[a]), pa.array(m - d + 1), lists], names=["node", "n", "k", "shared"])
+
+    dealt = docs.select(text).mapInArrow(deal, "bucket int, c0 binary, c1 binary, c2 binary").repartitionById(buckets, F.col("bucket"))
+    counted = dealt.mapInArrow(count, "bucket int, c0 binary, c1 binary, c2 binary, c3 binary").repartitionById(buckets, F.col("bucket"))
+    return written(counted.mapInArrow(choose, "node long, n long, k long, shared array<long>"), "similar-sets")
+
+
+def _cell(table: pa.Table) -> pa.Table:
+    """Links between components of the rows of a key that lie in two blocks (or one, if both are the same)."""
+    node, n, root, side = (table.column(c).to_numpy() for c in ("node", "n", "root", "side"))
+    lists = table.column("shared").combine_chunks()
+    size = np.diff(lists.offsets.to_numpy())
+    first = np.cumsum(size) - size
+    _, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    mark = np.zeros(len(flat) and flat.max() + 1, bool)
+    two = side.min() != side.max()
+    root = root.copy()
+    out: list[tuple[int, int]] = []
+    for i in range(len(node)):
+        if not (root != root[i]).any():
+            break
+        own = flat[first[i] : first[i] + size[i]]
+        mark[own] = True
+        both = np.add.reduceat(mark[flat].astype(np.int32), first)
+        mark[own] = False
+        near = (OF + LEAST) * both >= LEAST * (n + n[i])
+        if two:
+            near &= side != side[i]
+        for j in np.flatnonzero(near):
+            if root[j] != root[i]:
+                out.append((int(node[i]), int(node[j])))
+                root[root == root[j]] = root[i]
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def similar_links(sets: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(a, b) nodes of ``sets`` (see ``shingle_prefixes``) that are near copies, enough of them to connect all
+    that are."""
+    members = sets.select("node", "n", F.explode(F.slice("shared", F.lit(1), F.col("k").cast("int"))).alias("key"))
+    load = written(members.groupBy("key").agg(F.count("*").alias("load"), F.min("node").alias("head")).where("load > 1"), "similar-keys")
+    cold = members.join(load.where(F.col("load") <= crowd).select("key"), "key")
+    hot = members.join(load.where(F.col("load") > crowd), "key")
+    fits = F.greatest("n", "m") * LEAST <= F.least("n", "m") * OF
+    pairs = cold.withColumnRenamed("node", "a").join(cold.select("key", F.col("node").alias("b"), F.col("n").alias("m")), "key").where((F.col("a") > F.col("b")) & fits).select("a", "b")
+    pairs = pairs.unionByName(hot.where("node > head").select(F.col("node").alias("a"), F.col("head").alias("b"))).distinct()
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"shared_{x}"))
+    both = F.size(F.array_intersect("shared_a", "shared_b"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(both * (OF + LEAST) >= (F.col("n_a") + F.col("n_b")) * LEAST)
+    links = written(met.select("a", "b"), "similar-links")
+    if load.where(F.col("load") > crowd).isEmpty():
+        return links
+
+    # Keys whose rows are not all connected yet: each pair of blocks is a group of its own.
+    roots = components(links).withColumnRenamed("root", "r")
+    named = hot.select("node", "key", "load").join(roots, "node", "left").select("node", "key", "load", F.coalesce("r", "node").alias("root"))
+    named = written(named, "similar-crowds")
+    apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    blocks = F.ceil(F.col("load") / F.lit(SIDE)).cast("int")
+    placed = named.join(apart, "key").select("node", "key", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("side"))
+    spread = placed.select("node", "key", "root", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = spread.select("node", "key", "root", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).join(sets.select("node", "n", "shared"), "node")
+    return links.unionByName(written(cells.groupBy("key", "i", "j").applyInArrow(_cell, "a long, b long"), "similar-crowd-links"))
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, text: str = "text", doc_id: str = "doc_id", crowd: int = CROWD) -> DataFrame:
+    """(doc_id, component_id) by near copies: shingles of five words, similarity of 0.8 or more.
+
+    Rows without an id are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = pa.array([_node(shingle_set(t, shingle)) for t in utf8(batch.column(1))], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), nodes], names=["doc_id", "node"])
+
+    docs = docs.where(F.col(doc_id).isNotNull())
+    kind = docs.schema[doc_id].dataType.simpleString()
+    rows = written(docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, node long"), "similar-rows")
+    roots = components(similar_links(shingle_prefixes(docs, shingle, text), crowd))
+    first = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
+    known = written(first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "similar-roots")
+    best = known.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = known.join(best, "root").select("node", "component_id")
+    return rows.join(named, "node").select(F.col("doc_id").alias(doc_id), "component_id")
+
+
+# ------------------------------------------------------------------------ estimate of the similarity
+#
+# The pipeline linked by this before; nothing but tests calls it.
 
 WORD_BITS, SHINGLE_BITS = 256, 512
 SEGMENTS = WORD_BITS // 32
 #: Bits that may differ. For the shingles: the 78 that a similarity of 0.8 gives, and 1.6 standard deviations.
 WORD_APART, SHINGLE_APART = 40, 91
-#: Mixing constants (of the splitmix64 generator) and the factor of shingles; fixed values.
+#: Mixing constants (of the splitmix64 generator); fixed values.
 _STEP, _MIX_1, _MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _ones(raw: np.ndarray) -> np.ndarray:
@@ -239,56 +440,3 @@ def wide_fingerprint(text: bytes, shingle: int = 5) -> tuple[np.ndarray, np.ndar
     for k in range(min(shingle, len(own))):
         grams = grams * _FACTOR + own[k : k + n]
     return _bits(np.unique(own), WORD_BITS).view(np.uint32).astype(np.int64), _bits(np.unique(grams), SHINGLE_BITS).view(np.int64)
-
-
-def _far(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-
-def similar_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(a, b) ids of ``prints`` (id, words, shingles) that are near copies.
-
-    Where more than ``crowd`` rows have one segment value, they are compared with the smallest id there, and
-    with the smallest of those that share a second segment, in place of each other.
-    """
-    members = prints.select("id", F.posexplode("words").alias("seg", "val")).select("id", (F.col("seg").cast("long") * (1 << 32) + F.col("val")).alias("key"))
-    hot = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key")
-    cold, crowded = members.join(hot, "key", "left_anti"), members.join(hot, "key", "left_semi")
-    heads = crowded.groupBy("key").agg(F.min("id").alias("b"))
-    table_ = cold.withColumnRenamed("id", "b").unionByName(heads)
-    flips = F.array(*(F.lit(1 << k) for k in range(32)))
-    ball = F.transform(F.filter(F.transform(flips, lambda m: F.col("val").bitwiseOR(m)), lambda v: v != F.col("val")), lambda v: F.col("seg").cast("long") * (1 << 32) + v)
-    probes = prints.select("id", F.posexplode("words").alias("seg", "val")).select(F.col("id").alias("a"), F.explode(ball).alias("key"))
-    pairs = [probes.join(table_, "key").select("a", "b"), cold.withColumnRenamed("id", "a").join(cold.withColumnRenamed("id", "b"), "key").where("a > b").select("a", "b")]
-    pairs.append(crowded.withColumnRenamed("id", "a").join(heads, "key").select("a", "b"))
-    second = crowded.join(prints.select("id", F.posexplode("words").alias("seg", "val")), "id").select(F.col("id").alias("a"), "key", "seg", "val")
-    second_heads = second.groupBy("key", "seg", "val").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs.append(second.join(second_heads, ["key", "seg", "val"]).select("a", "b"))
-    every = pairs[0]
-    for p in pairs[1:]:
-        every = every.unionByName(p)
-    every = written(every.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "similar-candidates")
-    side = lambda n: prints.select(F.col("id").alias(n), F.col("words").alias(f"words_{n}"), F.col("shingles").alias(f"shingles_{n}"))
-    met = every.join(side("a"), "a").join(side("b"), "b")
-    return met.where((_far("words_a", "words_b") <= WORD_APART) & (_far("shingles_a", "shingles_b") <= SHINGLE_APART)).select("a", "b")
-
-
-def similar_groups(docs: DataFrame, shingle: int = 5, text: str = "text", doc_id: str = "doc_id", crowd: int = CROWD) -> DataFrame:
-    """(doc_id, component_id) by near copies: shingles of five words, similarity of 0.8 or more.
-
-    Rows without an id are left out.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [wide_fingerprint(t, shingle) for t in utf8(batch.column(1))]
-            cols = [pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([x[k] for x in both])), n).cast(pa.list_(pa.int64())) for k, n in ((0, SEGMENTS), (1, SHINGLE_BITS // 64))] if both else [pa.array([], pa.list_(pa.int64()))] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *cols], names=["doc_id", "words", "shingles"])
-
-    rows = docs.where(F.col(doc_id).isNotNull()).select(doc_id, text).mapInArrow(run, "doc_id long, words array<long>, shingles array<long>")
-    rows = written(rows, "wide-fingerprints")
-    distinct = written(rows.groupBy("words", "shingles").agg(F.min("doc_id").alias("id")), "wide-distinct")
-    roots = components(similar_links(distinct, crowd))
-    named = distinct.join(roots, F.col("id") == F.col("node"), "left").select("words", "shingles", F.coalesce("root", "id").alias("component_id"))
-    out = rows.join(named, ["words", "shingles"]).select("doc_id", "component_id")
-    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType)).withColumnRenamed("doc_id", doc_id)
