@@ -3,7 +3,8 @@ import random
 import pytest
 
 from gossamer.llm import simhash as S
-from tests.llm.test_simhash import brute_similar
+from tests.llm import test_pipeline
+from tests.llm.test_simhash import brute_similar, changed
 
 
 def chained(words, share, r):
@@ -33,3 +34,20 @@ def test_crowds_of_one_vocabulary(docs, monkeypatch, crowd, side):
         texts.append(" ".join(start))
     same_groups(docs, texts, crowd=crowd)
     assert len(set(brute_similar(texts))) < len(texts) - 40
+
+
+def test_groups_equal_exact_similarity(docs):
+    """Pairs on both sides of 0.8, in every length, equal brute force over the shingles."""
+    r = random.Random(11)
+    texts = []
+    for n in (6, 25, 40, 150, 600):
+        for share in (0.005, 0.015, 0.02, 0.022, 0.025, 0.03, 0.04):
+            for _ in range(4):
+                words = [f"w{int(r.paretovariate(0.4)) % 5000}" for _ in range(n)]
+                texts += [" ".join(words), changed(words, share, r)]
+    same_groups(docs, texts + ["", None, " ", "one", "One", "a b c d e", "a b c d e f"])
+
+
+def test_pipeline_keeps_what_exact_similarity_keeps(spark, sf, monkeypatch):
+    monkeypatch.setattr(test_pipeline, "brute_wide", brute_similar)
+    test_pipeline.test_rows_match_brute_force(spark, sf)
