@@ -8,8 +8,11 @@ probability of a bit mixes the estimates of all depths along the path by those s
 never seen, the share of deeper ones stays at the deepest node that was. Probabilities of a byte sum to 1.
 
 Counts are of all training text: one scan counts (depth + 1)-byte strings, all shorter contexts are their
-sums. ``MAX_GRAMS`` bounds the model in memory (and so its broadcast): the depth is the largest one, up to
-``DEPTH``, whose distinct strings fit; up to depth 2 any byte text fits. The unigram base needs each word's
+sums. ``MAX_GRAMS`` bounds what is in memory at once, not the model: a model of more strings is cut into
+shards by the two bytes before a byte, with the same predictions at the same depth. Nodes of two bytes and
+more lie in one shard; those of none and one byte, 65,536 strings at most, are in each, and what they need
+of the shards below is summed up first. Driver and tasks load one shard at a time. A shard holds whole
+two-byte contexts, so it may pass the bound where one of them does. The unigram base needs each word's
 count: see ``lookup`` for how documents get them.
 
 Defined edge cases: null, empty and white-space texts are the end token alone; with no training rows every
@@ -94,14 +97,13 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 class Model:
     """Mixed predictions of every node seen, by depth and bit, and of every whole byte string seen."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, top: tuple[np.ndarray, np.ndarray] | None = None, below: list[np.ndarray] | None = None):
+        """``top`` and ``below`` make a shard: (keys, counts) of all one-byte contexts, and see ``below_top``."""
         self.depth = depth
-        levels = []  # per depth: distinct (context, byte) keys and counts
-        for d in range(depth + 1):
-            levels.append(merged(keys & np.uint64((1 << 8 * (d + 1)) - 1), counts))
+        levels = self._levels(keys, counts, depth, top)
         self.nodes: list[list[tuple[np.ndarray, np.ndarray]]] = [[None] * 8 for _ in range(depth + 1)]
         for j in range(8):
-            self._weigh(levels, j)
+            self._weigh(levels, j, below and below[j])
         self.grams = levels[depth][0]
         logs = np.zeros(len(self.grams))
         for j in range(8):
@@ -112,31 +114,64 @@ class Model:
         self.logs = logs.astype(np.float32)
         self._hash()
 
+    @staticmethod
+    def _levels(keys: np.ndarray, counts: np.ndarray, depth: int, top: tuple[np.ndarray, np.ndarray] | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per depth: distinct (context, byte) keys and counts."""
+        own = (keys, counts)
+        return [merged((x := top if top and d < 2 else own)[0] & np.uint64((1 << 8 * (d + 1)) - 1), x[1]) for d in range(depth + 1)]
+
+    @classmethod
+    def below_top(cls, keys: np.ndarray, counts: np.ndarray, depth: int, top: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        """By bit: what a shard adds to the weight below each node of a one-byte context."""
+        levels = cls._levels(keys, counts, depth, top)
+        out = []
+        for j in range(8):
+            at, log_e, _ = cls._estimates(levels, j)
+            out.append(cls._weights(at, log_e, cls._parents(at))[1])
+        return out
+
     @staticmethod
     def _node(keys: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
         byte = keys & np.uint64(255)
         node = (keys & ~np.uint64(255)) | np.uint64(1 << j) | (byte >> np.uint64(8 - j))
         return node, (byte >> np.uint64(7 - j)) & np.uint64(1) == 1
 
-    def _weigh(self, levels, j: int) -> None:
+    @classmethod
+    def _estimates(cls, levels, j: int):
         at, log_e, kt = [], [], []
         for keys, n in levels:
-            node, bit = self._node(keys, j)
+            node, bit = cls._node(keys, j)
             k, place = np.unique(node, return_inverse=True)
             n1 = np.bincount(place, weights=n * bit, minlength=len(k))
             total = np.bincount(place, weights=n, minlength=len(k))
             at.append(k)
             log_e.append(_log_gamma(total - n1 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(total + 1) - np.log(np.pi))
             kt.append((n1 + 0.5) / (total + 1))
-        up = [None] * (self.depth + 1)
-        for d in range(1, self.depth + 1):  # a child's parent lacks the oldest byte of its context
-            up[d] = np.searchsorted(at[d - 1], at[d] & np.uint64((1 << 8 * d) - 1))
-        log_w, stop = log_e[self.depth], [None] * (self.depth + 1)
-        stop[self.depth] = np.ones(len(log_w))
-        for d in range(self.depth - 1, -1, -1):
-            below = np.bincount(up[d + 1], weights=log_w, minlength=len(at[d]))
-            log_w = np.logaddexp(log_e[d], below) - np.log(2)
+        return at, log_e, kt
+
+    @staticmethod
+    def _parents(at) -> list:
+        """A child's parent lacks the oldest byte of its context."""
+        return [None, *(np.searchsorted(at[d - 1], at[d] & np.uint64((1 << 8 * d) - 1)) for d in range(1, len(at)))]
+
+    @staticmethod
+    def _weights(at, log_e, up, below: np.ndarray | None = None) -> tuple[list, np.ndarray | None]:
+        """(share of "stop here" by depth, summed weight below each node of depth one); ``below`` replaces the latter."""
+        depth = len(at) - 1
+        log_w, stop, found = log_e[depth], [None] * (depth + 1), None
+        stop[depth] = np.ones(len(log_w))
+        for d in range(depth - 1, -1, -1):
+            under = np.bincount(up[d + 1], weights=log_w, minlength=len(at[d]))
+            if d == 1:
+                found = under = under if below is None else below
+            log_w = np.logaddexp(log_e[d], under) - np.log(2)
             stop[d] = np.exp(log_e[d] - np.log(2) - log_w)
+        return stop, found
+
+    def _weigh(self, levels, j: int, below: np.ndarray | None = None) -> None:
+        at, log_e, kt = self._estimates(levels, j)
+        up = self._parents(at)
+        stop, _ = self._weights(at, log_e, up, below)
         mixed, left = np.zeros(len(at[0])), np.ones(len(at[0]))
         for d in range(self.depth + 1):
             if d:
@@ -194,12 +229,44 @@ class Model:
         return logs.astype(np.float32)
 
     def score(self, texts: list[bytes]) -> list[float]:
-        out: list[float] = []
+        return score(texts, self.depth, lambda keys, _: self.log10(keys))
+
+
+def score(texts: list[bytes], depth: int, log10) -> list[float]:
+    """The sum of ``log10(strings, their chunk)`` over each text."""
+    out: list[float] = []
+    for c, (a, b) in enumerate(chunks(texts)):
+        keys, first, size = stream(texts[a:b], depth)
+        logs = log10(keys, c).astype(np.float64)
+        out += [float(logs[f : f + n].sum()) for f, n in zip(first, size)]
+    return out
+
+
+class Shards:
+    """Models of ranges of two-byte contexts, of which a process holds one."""
+
+    def __init__(self, models: list, last: np.ndarray, depth: int):
+        self.models, self.last, self.depth = models, last, depth  # broadcasts; the last context of each
+
+    def score(self, texts: list[bytes]) -> list[float]:
+        if len(self.models) == 1:
+            return self.models[0].value.score(texts)
+        logs: list[np.ndarray] = []
         for a, b in chunks(texts):
-            keys, first, size = stream(texts[a:b], self.depth)
-            logs = self.log10(keys).astype(np.float64)
-            out += [float(logs[f : f + n].sum()) for f, n in zip(first, size)]
-        return out
+            logs.append(np.zeros(len(stream(texts[a:b], self.depth)[0]), np.float32))
+        for k, model in enumerate(self.models):
+            held = model.load_from_path(model._path) if "_path" in vars(model) else model.value  # not kept
+            for c, (a, b) in enumerate(chunks(texts)):
+                keys = stream(texts[a:b], self.depth)[0]
+                own = np.flatnonzero(np.searchsorted(self.last, _context(keys)) == k)
+                if len(own):
+                    logs[c][own] = held.log10(keys[own])
+        return score(texts, self.depth, lambda _, c: logs[c])
+
+
+def _context(keys: np.ndarray) -> np.ndarray:
+    """The two bytes before a string's last one."""
+    return (keys >> np.uint64(8)) & np.uint64(0xFFFF)
 
 
 def _word_key(word: bytes) -> int:
@@ -252,19 +319,39 @@ def training_counts(docs: DataFrame, depth: int, folds: int, text: str, doc_id:
     return all_.where("gram").select("key", "n"), all_.where("NOT gram").select("key", "n")
 
 
-def fitted(grams: DataFrame, depth: int, max_grams: int) -> Model:
-    while depth > 2 and grams.count() > max_grams:
-        depth -= 1
-        grams = written(grams.groupBy(F.col("key").bitwiseAND((1 << 8 * (depth + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")), "lm-shorter")
+def _arrays(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     got = grams.toArrow()
-    return Model(got.column("key").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy().astype(np.float64), depth)
+    return got.column("key").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy().astype(np.float64)
+
+
+def fitted(grams: DataFrame, depth: int, max_grams: int) -> Shards:
+    """The model of all strings at the full depth, in as many shards as ``max_grams`` asks for."""
+    send = grams.sparkSession.sparkContext.broadcast
+    if depth < 2 or grams.count() <= max_grams:
+        return Shards([send(Model(*_arrays(grams), depth))], np.array([0xFFFF], np.uint64), depth)
+    context = F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFF)
+    loads = sorted((r.c, r["count"]) for r in grams.groupBy(context.alias("c")).count().collect())
+    ends, held = [], 0
+    for (_, n), before in zip(loads, [None, *loads]):
+        if held and held + n > max_grams:
+            ends.append(before[0])
+            held = 0
+        held += n
+    ends.append(0xFFFF)
+    parts = [grams.where(context.between(a + 1, b)) for a, b in zip([-1, *ends], ends)]
+    top = merged(*_arrays(grams.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n"))))
+    below = None
+    for part in parts:
+        more = Model.below_top(*_arrays(part), depth, top)
+        below = more if below is None else [x + y for x, y in zip(below, more)]
+    return Shards([send(Model(*_arrays(part), depth, top, below)) for part in parts], np.array(ends, np.uint64), depth)
 
 
 def scored(docs: DataFrame, depth: int = DEPTH, folds: int = 10, max_grams: int = MAX_GRAMS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row."""
     spark = docs.sparkSession
     grams, words = training_counts(docs, depth, folds, text, doc_id)
-    model = spark.sparkContext.broadcast(fitted(grams, depth, max_grams))
+    model = fitted(grams, depth, max_grams)
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = spark.sparkContext.broadcast(lookup.head_of(words, "key", "n", "n"))
     new = [T.StructField(n, t) for n, t in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("near_known", T.LongType()), ("near", T.DoubleType()), ("score", T.DoubleType()), ("bits_per_byte", T.DoubleType()))]
@@ -277,7 +364,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, folds: int = 10, max_grams: int
             ids, texts = batch.column(0), utf8(batch.column(1))
             keys, values = head.value
             logs = np.log10(values + 0.1)
-            scores = model.value.score(texts)
+            scores = model.score(texts)
             cols: list[list] = [[] for _ in range(4)]
             tails = []
             for t in texts:
