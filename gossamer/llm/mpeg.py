@@ -6,8 +6,9 @@ information says "no coded spectrum" so that the rest of each frame is ancillary
 payload, and an ID3v1 tag. The last frame takes the smallest bitrate that fits: variable bitrate.
 
 ``parse`` reads any byte string: it skips tags, searches for frame headers wherever sync is lost, accepts
-a header only if the next frame or the end of the audio follows it, verifies the CRC of protected
-frames, reads Xing, Info and VBRI tables and gives an exact duration (samples over sample rate) and the
+a header only if the next frame or the end of the audio follows it, verifies the CRC of protected Layer III
+frames, counts protected frames of Layers I and II as unverified (their CRC spans the bit allocation, which
+is not decoded), skips free-format frames as lost sync, reads Xing, Info and VBRI tables and gives an exact duration (samples over sample rate) and the
 offset of every frame.
 
 Defined edge cases: null and empty texts store one block of padding; bytes without any frame give zero
@@ -158,6 +159,7 @@ class Audio:
     crc_bad: int = 0
     resyncs: int = 0
     skipped: int = 0
+    crc_unverified: int = 0
 
     @property
     def samples(self) -> int:
@@ -228,6 +230,8 @@ def parse(data: bytes) -> Audio:
                 ok = crc16(data[at + 2 : at + 4] + data[body : body + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
                 out.crc_good += ok
                 out.crc_bad += not ok
+            else:
+                out.crc_unverified += 1
         body = at + 4 + 2 * h.protected + h.side
         if kind is None and h.layer == 3 and _read_table(data, at, body, h, out):
             kind = h.kind
@@ -288,7 +292,9 @@ def describe(audio: Audio) -> str:
     top, bottom = audio.duration
     return (
         f"{'+'.join(kinds) or 'none'}; frames={len(audio.offsets)}; seconds={top}/{bottom}; kbps={'-'.join(map(str, rates))}; "
-        f"table={audio.table or 'none'}:{audio.table_frames}; crc={audio.crc_good}/{audio.crc_good + audio.crc_bad}; resyncs={audio.resyncs}"
+        f"table={audio.table or 'none'}:{audio.table_frames}; crc={audio.crc_good}/{audio.crc_good + audio.crc_bad}"
+        + (f"; unverified={audio.crc_unverified}" if audio.crc_unverified else "")
+        + f"; resyncs={audio.resyncs}"
     )
 
 
