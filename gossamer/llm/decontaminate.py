@@ -41,8 +41,8 @@ MIN_LITERAL = 2
 SLACK = 24
 #: Windows of a block of the benchmark: 24 bytes each on an executor.
 MAX_WINDOWS = 1 << 20
-#: Bytes of text handled at once (a longer single text is handled alone).
-CHUNK = 1 << 20
+#: Bytes of text handled at once (a longer single text is handled alone); bytes hashed at once.
+CHUNK, PIECE = 1 << 20, 1 << 18
 
 # Unit words, in natural order.
 UNITS = (
@@ -63,12 +63,33 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def _powers(n: int, p: int, cache={}) -> np.ndarray:
-    have = cache.get(p)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK + 1)
-        cache[p] = have = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, p, np.uint64)]))
-    return have[:n]
+def _powers(p: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(PIECE, p, np.uint64)]))
+
+
+_UP, _DOWN = _powers(_P), _powers(_PINV)
+
+
+def _word_sums(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Each word's polynomial hash, from running sums over ``PIECE`` bytes at a time."""
+    out = np.zeros(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE, side="right")))
+        a, b = int(start[i]), int(end[j - 1])
+        if b - a <= PIECE:
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum((low[a:b].astype(np.uint64) + np.uint64(1)) * _UP[: b - a], out=sums[1:])
+            out[i:j] = (sums[end[i:j] - a] - sums[start[i:j] - a]) * _DOWN[start[i:j] - a]
+        else:  # one word longer than that
+            total, scale = 0, 1
+            for k in range(a, b, PIECE):
+                part = low[k : min(b, k + PIECE)].astype(np.uint64) + np.uint64(1)
+                total += int((part * _UP[: len(part)]).sum(dtype=np.uint64)) * scale
+                scale = scale * pow(_P, PIECE, 1 << 64) % (1 << 64)
+            out[i] = np.uint64(total % (1 << 64))
+        i = j
+    return out
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -105,17 +126,17 @@ def words_of(text: bytes) -> Words:
     start = edge[kind[edge] > 0]
     stops = np.append(edge, len(raw))
     end = stops[np.searchsorted(stops, start, side="right")]
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _powers(len(raw), _P), dtype=np.uint64)])
-    literal = _mix((sums[end] - sums[start]) * _powers(len(raw) + 1, _PINV)[start] + (end - start).astype(np.uint64))
+    literal = _mix(_word_sums(low, start, end) + (end - start).astype(np.uint64))
     first = raw[start]
     name = (first >= 65) & (first <= 90) | (first == 0xC3) & (low[np.minimum(start + 1, len(raw) - 1)] != raw[np.minimum(start + 1, len(raw) - 1)])
-    number, unit = kind[start] == 2, np.isin(literal, _UNIT_HASHES)
+    number = kind[start] == 2
+    unit = _UNIT_HASHES[np.searchsorted(_UNIT_HASHES[:-1], literal)] == literal if len(_UNIT_HASHES) else np.zeros(len(start), bool)
     template = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, literal)))
     return Words(start, end, literal, template, number | unit | name)
 
 
 _UNIT_HASHES = np.zeros(0, np.uint64)
-_UNIT_HASHES = np.array([words_of(u.encode()).literal[0] for u in UNITS], np.uint64)
+_UNIT_HASHES = np.sort(np.array([words_of(u.encode()).literal[0] for u in UNITS], np.uint64))
 
 
 def window_hashes(values: np.ndarray, window: int, salt: int) -> np.ndarray:

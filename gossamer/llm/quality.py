@@ -5,7 +5,8 @@ logistic loss; after training all trees are flattened into arrays of one shape,
 traverses together: one gather and one comparison per level.
 
 Training takes at most ``PER_CLASS`` labelled rows of each class (their statistics, not their texts, come
-to the driver) and weights them back to the classes' shares.
+to the driver) and weights them back to the classes' shares among all rows that may be learnt from. Labels of
+held-out rows are used nowhere. Of several texts with one id, one is learnt from.
 
 Defined edge cases: null and empty texts have statistics of zero and are scored like any other; without
 labels of both classes every score is the share of label 1 (one half without labels); repeated rows get
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gossamer.llm.common import appended
-from gossamer.llm.labelled import sample
+from gossamer.llm.labelled import sample, share
 
 PER_CLASS = 4000
 TREES, LEVELS, RATE, BINS, LEAST, RIDGE = 80, 4, 0.15, 64, 8.0, 2.0
@@ -124,7 +125,7 @@ class Trees:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, text: str = "text") -> Trees:
     """Fit on the sampled rows. A document row takes its statistics on an executor."""
     picked = sample(labels, label, per_class)
-    shares = labels.where(F.col(label).isNotNull()).agg(F.count_if(F.col(label) >= 1), F.count("*")).first()
+    ones = share(labels, label)
     # at most 2 * per_class rows, each an id and a label
     rows = docs.select("doc_id", text).join(F.broadcast(picked), "doc_id")
 
@@ -132,12 +133,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
         flat = np.concatenate([statistics(t) for t in texts])
         return [pa.FixedSizeListArray.from_arrays(pa.array(flat), len(FEATURES)).cast(pa.list_(pa.float32()))]
 
-    got = appended(rows, [T.StructField("stats", T.ArrayType(T.FloatType()))], stats, text).select("doc_id", "label", "stats").toArrow()
-    got = got.sort_by("doc_id")
+    got = appended(rows, [T.StructField("stats", T.ArrayType(T.FloatType()))], stats, text)
+    got = got.groupBy("doc_id", "label").agg(F.min("stats").alias("stats")).toArrow().sort_by("doc_id")
     y = got.column("label").to_numpy().astype(np.float64)
     x = np.array(got.column("stats").to_pylist(), np.float32).reshape(len(y), len(FEATURES))
-    share = shares[0] / shares[1] if shares[1] else 0.5
-    weight = np.where(y == 1, share / max(1e-9, y.mean()), (1 - share) / max(1e-9, 1 - y.mean())) if len(y) else y
+    weight = np.where(y == 1, ones / max(1e-9, y.mean()), (1 - ones) / max(1e-9, 1 - y.mean())) if len(y) else y
     return Trees.fit(x, y, weight)
 
 

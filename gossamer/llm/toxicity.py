@@ -7,28 +7,33 @@ in windows of ``WINDOW`` words that overlap by half, forwards and backwards; att
 states and a linear layer gives the window's logit. A document's logit is calibrated from the largest one
 of all its windows and their number.
 
-Training takes at most ``PER_CLASS`` labelled texts of each class, of at most ``MAX_CHARS`` characters
-each. Only some windows of a toxic text are toxic, so each round learns from the highest window of each
-text and, of label 0, one other.
+Training takes at most ``PER_CLASS`` labelled texts of each class, longer ones by blocks from all over the
+text (``EXCERPT`` bytes in all), so texts of every length are learnt from. Only some windows of a toxic text
+are toxic, so each round learns from the highest window of each text and, of label 0, one other. Labels of
+held-out rows are used nowhere, the share that calibrates the scores included.
 
 Defined edge cases: a text without words (null, empty) is one window of padding and is scored like any
 other; without labels of both classes every score is the share of label 1 (one half without labels);
-repeated rows get equal scores; an empty table gives an empty result; clashing columns are replaced.
+repeated rows get equal scores, and of several texts with one id one is learnt from; an empty table gives an
+empty result; clashing columns are replaced; a very long text is scored block by block of its windows.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gossamer.llm.common import appended, utf8
+from gossamer.llm.common import appended
 from gossamer.llm.decontaminate import _mix, lower, words_of
-from gossamer.llm.labelled import sample
+from gossamer.llm.labelled import sample, share
 
-PER_CLASS, MAX_CHARS = 1500, 20_000
+#: Labelled texts a class, bytes learnt from of each, bytes of a block of a longer one.
+PER_CLASS, EXCERPT, PASSAGE = 1500, 12_000, 1_000
 WINDOW, STRIDE = 32, 16
 BUCKETS, WORD, CHAR, HIDDEN = 1 << 16, 4, 4, 8
 PREFIXES = (4, 5, 6)
@@ -65,7 +70,7 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
             hashes.append(_mix(prefix + np.uint64(k + 1)))
     bucket = (np.stack(hashes, axis=1) % np.uint64(BUCKETS - 1)).astype(np.int32) + 1
     bound = np.concatenate([[0], np.searchsorted(w.start, np.cumsum([len(t) + 1 for t in texts]))])
-    grids = [np.where((g := windows(int(b - a))) < 0, -1, g + a) for a, b in zip(bound, bound[1:])]
+    grids = [np.where((g := windows(int(b - a))) < 0, -1, g + a).astype(np.int32) for a, b in zip(bound, bound[1:])]
     return w.start, w.end, bucket, low, grids
 
 
@@ -167,9 +172,17 @@ class Network:
             dv += dgate @ self.p[f"x{side}"].T
         return g, dv, loss
 
-    def window_logits(self, bucket: np.ndarray, chars: np.ndarray, at: np.ndarray) -> np.ndarray:
-        v = self.vectors(bucket, chars)
-        return np.concatenate([self.forward(v, at[k : k + BLOCK]) for k in range(0, len(at), BLOCK)])
+    def window_logits(self, start: np.ndarray, end: np.ndarray, bucket: np.ndarray, low: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Logits of windows; inputs are made for the words of one block of them at a time."""
+        out = []
+        for k in range(0, len(at), BLOCK):
+            part = at[k : k + BLOCK]
+            own = part[part >= 0]
+            a, b = (int(own.min()), int(own.max()) + 1) if len(own) else (0, 0)
+            first, last = (int(start[a]), int(end[b - 1])) if b else (0, 0)
+            chars = char_means(self.p["char"], low[first:last], start[a:b] - first, end[a:b] - first)
+            out.append(self.forward(self.vectors(bucket[a:b], chars), np.where(part >= 0, part - a, -1)))
+        return np.concatenate(out)
 
     def probability(self, top: np.ndarray, count: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -187,7 +200,7 @@ class Network:
                 size += len(texts[last]) + 1
                 last += 1
             start, end, bucket, low, grids = laid_out(texts[first:last])
-            logits = self.window_logits(bucket, char_means(self.p["char"], low, start, end), np.concatenate(grids))
+            logits = self.window_logits(start, end, bucket, low, np.concatenate(grids))
             count[first:last] = [len(g) for g in grids]
             top[first:last] = np.maximum.reduceat(logits, np.cumsum([0, *map(len, grids[:-1])]))
             first = last
@@ -195,7 +208,7 @@ class Network:
 
 
 def fit(texts: list[bytes], y: np.ndarray, share: float, seed: int = 0) -> Network:
-    """``share`` is label 1's share among all labelled rows."""
+    """``share`` is label 1's share among all rows that may be learnt from."""
     net = Network(seed)
     if len(np.unique(y)) < 2:
         net.constant = share
@@ -217,7 +230,7 @@ def fit(texts: list[bytes], y: np.ndarray, share: float, seed: int = 0) -> Netwo
     step = 0
     for round_ in range(ROUNDS):
         if round_:
-            logits = net.window_logits(bucket, char_means(net.p["char"], low, start, end), every)
+            logits = net.window_logits(start, end, bucket, low, every)
         else:
             best = np.append(net.p["word"][bucket, 0].max(axis=1), -9)
             logits = best[every].max(axis=1)
@@ -239,16 +252,19 @@ def fit(texts: list[bytes], y: np.ndarray, share: float, seed: int = 0) -> Netwo
             np.add.at(chars, word_of, net.p["char"][flat])
             chars /= np.maximum(1, m)[:, None]
             g, dv, _ = net.gradients(net.vectors(bucket[own], chars), local, y[[k for k, _ in part]].astype(np.float32))
-            g["word"], g["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
-            np.add.at(g["word"], bucket[own].ravel(), dv[:-1, :-CHAR].reshape(-1, WORD))
+            met, place = np.unique(bucket[own].ravel(), return_inverse=True)  # only rows that were used move
+            g["word"], g["char"] = np.zeros((len(met), WORD), np.float32), np.zeros_like(net.p["char"])
+            np.add.at(g["word"], place, dv[:-1, :-CHAR].reshape(-1, WORD))
             np.add.at(g["char"], flat, (dv[:-1, -CHAR:] / np.maximum(1, m)[:, None])[word_of])
             step += 1
-            for name, (mean, square) in moments.items():
-                mean += 0.1 * (g[name] - mean)
-                square += 0.01 * (g[name] ** 2 - square)
-                net.p[name] -= (STEP * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            for name, (means, squares) in moments.items():
+                at_ = met if name == "word" else slice(None)
+                mean, square = means[at_], squares[at_]
+                mean, square = mean + 0.1 * (g[name] - mean), square + 0.01 * (g[name] ** 2 - square)
+                means[at_], squares[at_] = mean, square
+                net.p[name][at_] -= (STEP * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
             net.p["word"][0] = 0
-    logits = net.window_logits(bucket, char_means(net.p["char"], low, start, end), every)
+    logits = net.window_logits(start, end, bucket, low, every)
     x = np.stack([np.maximum.reduceat(logits, begins), np.log(ends - begins), np.ones(len(y))], axis=1)
     for _ in range(30):  # Newton's method with a ridge
         p = 1 / (1 + np.exp(-np.clip(x @ net.cal, -30, 30)))
@@ -260,12 +276,22 @@ def fit(texts: list[bytes], y: np.ndarray, share: float, seed: int = 0) -> Netwo
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, text: str = "text") -> Network:
-    shares = labels.where(F.col(label).isNotNull()).agg(F.count_if(F.col(label) >= 1), F.count("*")).first()
+def excerpt(text: bytes, most: int = EXCERPT) -> bytes:
+    """The text, or passages drawn from all over it by a generator that its own bytes seed."""
+    if len(text) <= most:
+        return text
+    places = np.random.default_rng(zlib.crc32(text)).permutation(-(-len(text) // PASSAGE))[: most // PASSAGE]
+    parts = [text[k * PASSAGE : (k + 1) * PASSAGE] for k in np.sort(places).tolist()]
+    return b"\n".join(p[p.find(b" ") + 1 : p.rfind(b" ") if b" " in p else None] for p in parts)
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, most: int = EXCERPT, text: str = "text") -> Network:
+    ones = share(labels, label)
     picked = sample(labels, label, per_class)  # at most 2 * per_class rows, each an id and a label
-    got = docs.select("doc_id", text).where(F.coalesce(F.length(text), F.lit(0)) <= max_chars).join(F.broadcast(picked), "doc_id").select("doc_id", "label", text).toArrow().sort_by("doc_id")
-    texts = utf8(got.column(text).combine_chunks()) if got.num_rows else []
-    return fit(texts, got.column("label").to_numpy().astype(np.float64), shares[0] / shares[1] if shares[1] else 0.5)
+    rows = docs.select("doc_id", text).join(F.broadcast(picked), "doc_id")
+    cut = appended(rows, [T.StructField("_cut", T.BinaryType())], lambda texts: [pa.array([excerpt(t, most) for t in texts], pa.binary())], text)
+    got = cut.groupBy("doc_id", "label").agg(F.min("_cut").alias("cut")).toArrow().sort_by("doc_id")
+    return fit(got.column("cut").to_pylist(), got.column("label").to_numpy().astype(np.float64), ones)
 
 
 def scored(docs: DataFrame, model: Network, text: str = "text", column: str = "score") -> DataFrame:

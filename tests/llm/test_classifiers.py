@@ -1,10 +1,12 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gossamer.llm import quality as Q
 from gossamer.llm import queries as R
 from gossamer.llm import toxicity as X
 from gossamer.llm.common import crc_bucket
+from gossamer.llm.labelled import held_out
 
 
 def test_gradients_match_differences():
@@ -95,3 +97,48 @@ def test_without_labels_and_rows(spark, docs):
     assert {r.score for r in X.scored(d, X.train(d, none)).collect()} == {0.5}
     one = spark.createDataFrame([(1, None, 1), (2, 1, None), (None, 0, 0)], "doc_id long, quality int, toxic int")
     assert X.scored(docs([]), X.train(d, one)).count() == 0 == Q.scored(docs([]), Q.train(d, one)).count()
+
+
+def _tables(spark, docs, n=120):
+    """Documents with marked bad ones, and labels of both kinds for them."""
+    r = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join([*r.choice(words, 40), *["nasty"] * (k % 3 == 0), "!!!" * (k % 2)]) for k in range(n)]
+    return docs(texts), spark.createDataFrame([(k, k % 2, int(k % 3 == 0)) for k in range(n)], "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize("module,label", [(Q, "quality"), (X, "toxic")])
+def test_held_out_labels_are_not_used(spark, docs, module, label):
+    d, labels = _tables(spark, docs)
+    other = labels.withColumn(label, F.when(held_out(F.col("doc_id")), 1 - F.col(label)).otherwise(F.col(label)))
+    assert labels.exceptAll(other).count() > 10
+    one, two = ({r.doc_id: r.score for r in module.scored(d, module.train(d, x)).collect()} for x in (labels, other))
+    assert one == two
+
+
+@pytest.mark.parametrize("module", [Q, X])
+def test_repeated_rows_and_clashing_columns(spark, docs, module):
+    d, labels = _tables(spark, docs, 40)
+    d = d.union(d.limit(7)).union(docs(["other text of the same id"], [1])).withColumn("Score", F.lit("x"))
+    out = module.scored(d, module.train(d, labels)).collect()
+    assert len(out) == 48 and len({(r.doc_id, r.score) for r in out}) == 41
+    assert module.scored(d, module.train(d, labels)).schema["score"].dataType.simpleString() == "double"
+
+
+def test_excerpts_come_from_all_over():
+    text = b" ".join(b"w%d" % k for k in range(30_000))
+    cut = X.excerpt(text)
+    assert len(cut) <= X.EXCERPT and X.excerpt(text) == cut and X.excerpt(text[:99]) == text[:99]
+    places = [int(w[1:]) for w in cut.split()]
+    assert min(places) < 6000 and max(places) > 24_000 and set(cut.split()) <= set(text.split())
+    assert len(X.excerpt(b"x" * 10**6)) <= X.EXCERPT + 12
+
+
+def test_very_long_text_scores_like_its_windows():
+    net = X.Network(2)
+    text = b" ".join(b"%d" % (k % 977) for k in range(200_000)).translate(bytes.maketrans(b"0123456789", b"abcdefghij"))
+    start, end, bucket, low, grids = X.laid_out([text])
+    logits = net.window_logits(start, end, bucket, low, grids[0])
+    few = X.laid_out([b" ".join(text.split()[32_000:32_032])])
+    assert abs(logits[2000] - net.window_logits(*few[:4], few[4][0])[0]) < 1e-4
+    assert len(logits) == len(X.windows(200_000)) and np.isfinite(net.score([text])).all()
