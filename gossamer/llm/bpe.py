@@ -3,23 +3,25 @@
 Compilation. The automaton starts with one state and an arc for each byte back to it. Every merge
 (a, b -> c), in order of rank, applies one gadget: the state reached by ``a`` loses its arc ``b`` (the pair
 must not stay unmerged), a state for ``c`` is cloned from the state reached by ``b`` as it was before, and
-every state that has an arc ``a`` gets an arc ``c``. What is left after all merges accepts exactly the
-token sequences that the merges can produce, and over a given word it accepts exactly one.
+every state that has an arc ``a`` gets an arc ``c``. A merge whose pair no text can produce when its turn comes
+(no arc ``b`` is left there, or one half was never made) is dead and applies no gadget. What is left after all
+merges accepts exactly the token sequences that the merges can produce, and over a given word exactly one.
 
 Written out, 50,000 clones with thousands of arcs each would take gigabytes. So clones are kept as a
 persistent structure: each gadget is three flat array entries (whose arcs it inherits, through which label
-it is entered, at which step) plus one removed arc. Whether an arc exists is resolved by walking up the
-clone chain, and the answer is entered in the transition table, which words then mostly hit.
+it is entered, at which step) plus one removed arc. The transition table (a row for each state: symbol to next
+state, or none) is filled as states are met: an arc is resolved once, by walking up the clone chain.
 
 Encoding. Text is split by the vocabulary's pattern (special strings are cut out first), and each distinct
-word is read from the start state: arcs are tried from the longest label down, and since a prefix has only
-one accepted path, no position is entered twice; time is linear in the word. Texts of Latin-1 characters are
+word is read through the table from the start state: arcs are tried from the longest label down, and since a prefix
+has only one accepted path, no position is entered twice; time is linear in the word. Texts of Latin-1 characters are
 split by the same pattern with its classes spelt out for those characters, which takes a third of the time.
 
 Decoding. The labels of all ids of a batch are gathered into one buffer, cut where each row's ids end.
 
 Defined edge cases: null and empty texts give no ids and decode to an empty text; ids outside the
-vocabulary raise; repeated rows are harmless; an empty table gives an empty result; a column ``ids``,
+vocabulary raise; a vocabulary file with settings that are not carried out here (a normalizer, other splits,
+word ends, two live merges of one result) raises; repeated rows are harmless; an empty table gives an empty result; a column ``ids``,
 ``n_tokens`` or ``decoded`` that is there already is replaced.
 """
 
@@ -74,8 +76,15 @@ class _Recent(dict):
         return found
 
 
+#: The start state, and what the table holds where a state has no such arc.
+START, NONE = -1, -2
+
+
 class Automaton:
-    """A compiled vocabulary. Symbols are numbered by creation: single bytes, then merges by rank."""
+    """A compiled vocabulary. Symbols are numbered by creation: single bytes, then live merges by rank.
+
+    The state that a symbol leads to has its number.
+    """
 
     def __init__(self, merges: list[tuple[bytes, bytes]], ids: dict[bytes, int], special: dict[str, int]):
         self.special, self.ids = special, ids
@@ -83,41 +92,49 @@ class Automaton:
         self.entry, self.clone = [-1] * 256, [-1] * 256
         self.removed: dict[int, int] = {}
         number = {label: k for k, label in enumerate(self.labels)}
-        for step, (a, b) in enumerate(merges):
-            self._gadget(number, step, a, b)
+        for a, b in merges:
+            self._gadget(number, a, b)
         self.token = [ids.get(label, -1) for label in self.labels]
         self.number = number
         self.reach: dict[bytes, int] = {}  # the longest label that begins with these four bytes
         for label in self.labels:
             if len(label) > self.reach.get(label[:4], 3):
                 self.reach[label[:4]] = len(label)
-        self.arcs: dict[int, bool] = {}
+        self.table: dict[int, dict[int, int]] = {}
+        self.entered = 0
         self.words = _Recent(self._word_ids)
         self.split_any, self.split_latin = regex.compile(PATTERN).findall, re.compile(LATIN_PATTERN).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
         by_id = {v: k for k, v in ids.items()} | {v: k.encode() for k, v in special.items()}
         self.by_id = pa.array([by_id.get(k) for k in range(max(by_id, default=-1) + 1)], pa.binary())
 
-    def _gadget(self, number: dict[bytes, int], step: int, a: bytes, b: bytes) -> None:
-        x, y = number[a], number[b]
-        self.removed[x << 20 | y] = step
+    def _gadget(self, number: dict[bytes, int], a: bytes, b: bytes) -> None:
+        x, y = number.get(a), number.get(b)
+        if x is None or y is None or not self._resolve(x, y):
+            return  # dead
         if a + b in number:
             raise ValueError(f"two merges make {a + b!r}")
+        self.removed[x << 20 | y] = len(self.labels) - 256
         number[a + b] = len(self.labels)
         self.labels.append(a + b)
         self.entry.append(x)
         self.clone.append(y)
 
-    def has_arc(self, x: int, y: int) -> bool:
-        """Whether the state reached by symbol x has an arc y once all merges are applied."""
-        known = self.arcs.get(x << 20 | y)
-        if known is None:
-            if len(self.arcs) > ARCS:
-                self.arcs.clear()
-            known = self.arcs[x << 20 | y] = self._resolve(x, y)
-        return known
+    def _row(self, state: int) -> dict[int, int]:
+        """A state's transitions met so far."""
+        if self.entered > ARCS:
+            self.table.clear()
+            self.entered = 0
+        return self.table.setdefault(state, {})
+
+    def _enter(self, row: dict[int, int], state: int, symbol: int) -> int:
+        """Fill in one transition; from the start every live symbol can be read."""
+        row[symbol] = to = symbol if state == START or self._resolve(state, symbol) else NONE
+        self.entered += 1
+        return to
 
     def _resolve(self, x: int, y: int) -> bool:
+        """Whether the state reached by symbol x has an arc y after the merges applied so far."""
         removed, entry, clone = self.removed, self.entry, self.clone
         until = len(self.labels)  # steps that count
         while True:
@@ -134,30 +151,32 @@ class Automaton:
 
     def encode_word(self, word: bytes) -> list[int]:
         """The symbols on the accepted path of a word."""
-        n, number, arcs, reach = len(word), self.number, self.arcs, self.reach
+        n, number, reach = len(word), self.number, self.reach
         path: list[int] = []
         left: set[int] = set()  # places entered and left again: no path goes on from there
-        pos, last, end = 0, -1, reach.get(word[:4], 3)
+        pos, state, end = 0, START, reach.get(word[:4], 3)
+        row = self._row(START)
         if end > n:
             end = n
         while pos < n:
             while end > pos:
-                arc = number.get(word[pos:end])
-                if arc is not None and end not in left:
-                    if last < 0:
-                        break
-                    known = arcs.get(last << 20 | arc)
-                    if known or (known is None and self.has_arc(last, arc)):
+                symbol = number.get(word[pos:end])
+                if symbol is not None and end not in left:
+                    to = row.get(symbol)
+                    if to is None:
+                        to = self._enter(row, state, symbol)
+                    if to != NONE:
                         break
                 end -= 1
             else:
                 left.add(pos)
                 end = pos - 1
                 pos -= len(self.labels[path.pop()])
-                last = path[-1] if path else -1
+                state = path[-1] if path else START
+                row = self._row(state)
                 continue
-            path.append(arc)
-            pos, last = end, arc
+            path.append(to)
+            pos, state, row = end, to, self._row(to)
             end += reach.get(word[pos : pos + 4], 3)
             if end > n:
                 end = n
@@ -212,12 +231,22 @@ class Automaton:
 
 
 def read_vocabulary(path: str) -> dict:
-    """Merges, ids and special strings of a byte-level BPE file in the tokenizers library's format."""
+    """Merges, ids and special strings of a byte-level BPE file in the tokenizers library's format.
+
+    A file that asks for anything else raises.
+    """
     with open(path, encoding="utf-8") as f:
         data = json.load(f)
+    model, part = data["model"], data.get("pre_tokenizer") or {}
+    other = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    other += [f"model {model.get('type')}"] * (model.get("type", "BPE") != "BPE") + ["normalizer"] * bool(data.get("normalizer"))
+    if part.get("type") != "ByteLevel" or part.get("add_prefix_space") or not part.get("use_regex", True):
+        other.append("pre_tokenizer")
+    other += [f"added token {t['content']!r}" for t in data["added_tokens"] if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+    if other:
+        raise ValueError(f"{path} has settings that are not supported: {', '.join(other)}")
     letters = byte_letters()
     raw = lambda s: bytes(letters[c] for c in s)
-    model = data["model"]
     special = {t["content"]: t["id"] for t in data["added_tokens"]}
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     return {"merges": [(raw(a), raw(b)) for a, b in merges], "ids": {raw(t): k for t, k in model["vocab"].items() if t not in special}, "special": special}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +10,8 @@ from gossamer.llm import bpe, decontaminate, line_dedup, lm_scoring, mpeg, quali
 from gossamer.llm.common import table
 from gossamer.llm.labelled import held_out
 
-#: Where the vocabulary files are.
-TOKENIZERS = "/opt/tokenizers"
-VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
+#: The vocabulary file of the queries.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 #: (host, path, verdict) of the URL query.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
