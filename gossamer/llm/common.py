@@ -16,15 +16,20 @@ SPACE = b" \t\n\x0b\x0c\r"
 
 _RUN = uuid.uuid4().hex
 
-#: Rows handed to a Python worker at once: with documents of some kilobytes, a few megabytes.
-BATCH_ROWS = 2000
+#: Rows and bytes handed to a Python worker at once; a single larger row comes alone.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower Spark's rows per Arrow batch to ``BATCH_ROWS``; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's rows and bytes per Arrow batch to these; smaller settings stay.
+
+    Spark has no setting for one query, and plans read it when they run, so it is not put back.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).lower().rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,12 +1,18 @@
 """Line deduplication through a sharded minimal perfect hash.
 
 Plan: one scan counts in how many documents each line key occurs (per-task pre-aggregation, then one
-shuffle of 128-bit hashes); the hashes that reach the threshold are dealt to shards, and each shard
+shuffle of 128-bit hashes); the distinct hashes that reach the threshold are dealt to shards, and each shard
 compiles a minimal perfect hash with two arrays behind it, a 64-bit fingerprint and a document count.
 A second scan probes those arrays per document. Lines themselves are never shuffled.
 
-A line below the threshold is not in the index: its probe lands on some slot whose fingerprint
-differs, which gives the same answer ("keep") as a stored count below the threshold would.
+Distinct lines below the threshold are counted but left out of the arrays: nearly all lines are found once, so
+they would make the arrays many times larger, and the answer is the same ("keep"), since such a probe lands on
+no slot or on one whose fingerprint differs.
+
+Every answer comes from the arrays, at any size. The shard of the ``HEAD`` lines found most often (a fixed number,
+about two megabytes) is sent to every task. If there are more, a document's other hashes are packed by shard and
+shuffled to it (see ``routed``); the hits come back under the hash of the whole text. A line outside the head
+is found in fewer documents than any in it, and a shard with many probes is copied, so none is hot.
 
 Defined edge cases: a null or empty text is one empty line and is kept as an empty text; the key of a
 line is the line without the white space at its ends, A-Z lower-cased; keys shorter than ``min_chars``
@@ -19,6 +25,7 @@ from __future__ import annotations
 import io
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -28,14 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gossamer.llm.common import SPACE, appended, rows_of, utf8, written
+from gossamer.llm import routed
+from gossamer.llm.common import SPACE, appended, extended, rows_of, utf8, written
 
 #: Entries of a task's counting table before it is handed on; bounds a worker's memory.
 FLUSH = 400_000
 #: Keys a shard holds on average.
 SHARD_KEYS = 1 << 16
-#: Largest index, in bytes, that is sent whole to every executor.
-MAX_BROADCAST = 64 << 20
+#: Lines, found most often, whose arrays every task has.
+HEAD = 1 << 17
+#: A probe: the name of a text (the MD5 of its bytes) and the hash of one of its lines.
+PROBE = np.dtype([("a", np.uint64), ("b", np.uint64), ("h1", np.uint64), ("h2", np.uint64)])
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _STEP = 0x9E3779B97F4A7C15
@@ -169,72 +179,93 @@ def build_index(frequent: DataFrame, n_shards: int) -> DataFrame:
     # unsigned remainder, as LineIndex takes it: (high * (2^32 mod n) + low) mod n
     high, low = F.shiftrightunsigned("h1", 32), F.col("h1").bitwiseAND(0xFFFFFFFF)
     shard = ((high % n_shards) * ((1 << 32) % n_shards) + low % n_shards) % n_shards
-    return frequent.withColumn("shard", shard.cast("long")).groupBy("shard").applyInPandas(build, "shard long, blob binary")
+    return frequent.withColumn("shard", shard.cast("int")).groupBy("shard").applyInPandas(build, "shard int, blob binary")
 
 
-def drop_frequent_lines(
-    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", doc_id: str = "doc_id", max_broadcast: int = MAX_BROADCAST
-) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", head: int | None = None, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """Drop every line whose key is found in at least ``min_docs`` documents.
 
-    Returns all columns of ``docs`` with the kept lines as the text, then n_lines and n_dropped. The
-    index is broadcast only if its measured size is within ``max_broadcast``; beyond that the hits of
-    each document are fetched by a skew-splittable join on the 128-bit hashes, with the same result.
+    Returns all columns of ``docs`` with the kept lines as the text, then n_lines and n_dropped. The arrays of
+    the ``head`` lines found most often are sent to every task; the others are probed in their shards.
     """
     spark = docs.sparkSession
+    head = HEAD if head is None else head
     frequent = written(frequent_lines(docs, min_docs, min_chars, text), "lines")
-    n_shards = max(1, -(-frequent.count() // SHARD_KEYS))
-    shards = written(build_index(frequent, n_shards), "line-index")
-    size = shards.agg(F.coalesce(F.sum(F.length("blob")), F.lit(0))).first()[0]
+    rows = frequent.orderBy(F.desc("n_docs"), "h1", "h2").limit(head).toArrow()
+    h1, h2, n = (rows.column(k).to_numpy() for k in ("h1", "h2", "n_docs"))
+    sent = spark.sparkContext.broadcast(pack_shard(h1.view(np.uint64), h2.view(np.uint64), n))
     new = [T.StructField(text, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
-
-    def split(texts: list[bytes], flagged) -> list[pa.Array]:
-        """``flagged(row, hashes)`` tells which of a document's hashes are frequent."""
-        kept, total, gone = [], [], []
-        for i, doc in enumerate(texts):
-            lines, hashes = doc.split(b"\n"), line_hashes(doc, min_chars)
-            bad = flagged(i, hashes)
-            left = [x for x, h in zip(lines, hashes) if h is None or h not in bad]
-            kept.append(b"\n".join(left))
+    opened: list[LineIndex] = []
+
+    def probe(hashes: list[list[bytes | None]]) -> set[bytes]:
+        """The frequent ones among them, by the arrays at hand."""
+        if not opened:
+            opened.append(LineIndex({0: sent.value}, 1))
+        all_ = list({h for own in hashes for h in own} - {None})
+        return {h for h, n in zip(all_, opened[0].counts(*_halves(all_))) if n >= min_docs}
+
+    def kept(texts: list[bytes], hashes: list[list[bytes | None]], bad: list[set[bytes]]) -> list[pa.Array]:
+        out, total, gone = [], [], []
+        for doc, own, drop in zip(texts, hashes, bad):
+            lines = doc.split(b"\n")
+            left = [x for x, h in zip(lines, own) if h is None or h not in drop]
+            out.append(b"\n".join(left))
             total.append(len(lines))
             gone.append(len(lines) - len(left))
-        return [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())]
+        return [pa.array(out, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())]
+
+    n_lines = frequent.count()
+    if n_lines <= len(h1):  # no shard beside the one that was sent
 
-    if size <= max_broadcast:
-        sent = spark.sparkContext.broadcast({r["shard"]: bytes(r["blob"]) for r in shards.toLocalIterator()})
-        opened: list[LineIndex] = []
+        def whole(texts: list[bytes]) -> list[pa.Array]:
+            hashes = [line_hashes(t, min_chars) for t in texts]
+            return kept(texts, hashes, [probe(hashes)] * len(texts))
 
-        def probe(texts: list[bytes]) -> list[pa.Array]:
-            if not opened:
-                opened.append(LineIndex(sent.value, n_shards))
-            all_ = list({h for doc in texts for h in line_hashes(doc, min_chars)} - {None})
-            counts = opened[0].counts(*_halves(all_))
-            bad = {h for h, n in zip(all_, counts) if n >= min_docs}
-            return split(texts, lambda i, hashes: bad)
+        return appended(docs, new, whole, text)
 
-        return appended(docs, new, probe, text)
+    rest = frequent
+    if len(h1):  # those behind the last one sent
+        last = rows.slice(len(h1) - 1).to_pylist()[0]
+        line = lambda *c: F.struct(*(x.cast("long").alias(k) for x, k in zip(c, "abc")))
+        rest = frequent.where(line(-F.col("n_docs"), F.col("h1"), F.col("h2")) > line(F.lit(-last["n_docs"]), F.lit(last["h1"]), F.lit(last["h2"])))
+    n_shards = -(-(n_lines - len(h1)) // shard_keys)
+    shards = written(build_index(rest, n_shards), "line-index")
 
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            ids, digests = [], []
-            for key, doc in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                own = set(line_hashes(doc, min_chars)) - {None}
-                ids += [key] * len(own)
-                digests += own
-            h1, h2 = _halves(digests)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["id", "h1", "h2"])
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    hits = docs.select(doc_id, text).mapInArrow(probes, f"id {kind}, h1 long, h2 long").join(frequent, ["h1", "h2"])
-    by_doc = hits.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("_bad"))
-    wide = docs.join(by_doc, docs[doc_id].eqNullSafe(by_doc["id"]), "left").drop(by_doc["id"])
-    schema = T.StructType([f for f in docs.schema.fields if f.name.lower() not in {x.name.lower() for x in new}] + new)
+            texts = utf8(batch.column(0))
+            hashes = [line_hashes(t, min_chars) for t in texts]
+            known, asked = probe(hashes), []
+            for doc, own in zip(texts, hashes):
+                if (name := md5(doc).digest()) not in seen:
+                    if len(seen) > FLUSH:
+                        seen.clear()
+                    seen.add(name)
+                    asked += [name + h for h in set(own) - known - {None}]
+            if asked:
+                flat = np.frombuffer(b"".join(asked), PROBE)
+                yield from routed.packed((flat["h1"] % np.uint64(n_shards)).astype(np.int32), flat)
+
+    def answer(index: LineIndex, flat: np.ndarray) -> pa.RecordBatch:
+        good = flat[index.counts(flat["h1"], flat["h2"]) >= min_docs]
+        raw = good.tobytes()
+        names, lines = ([raw[k + a : k + a + 16] for k in range(0, len(raw), 32)] for a in (0, 16))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(lines, pa.binary())], names=["_name", "line"])
+
+    hits = routed.answered(shards, docs.select(text).mapInArrow(ask, "shard int, data binary"), PROBE, lambda blob: LineIndex({0: blob}, 1), answer, "_name binary, line binary")
+    bad = written(hits.groupBy("_name").agg(F.collect_set("line").alias("_bad")), "line-hits")
+    name = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    wide = docs.withColumn("_name", name).join(bad, "_name", "left").drop("_name")
+    schema = extended(docs.schema, new)
     keep = [f.name for f in schema.fields[:-3]]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bad = [{np.array([x["h1"], x["h2"]], np.int64).tobytes() for x in row or ()} for row in batch.column("_bad").to_pylist()]
-            columns = split(utf8(batch.column(text)), lambda i, hashes: bad[i])
+            texts = utf8(batch.column(text))
+            hashes = [line_hashes(t, min_chars) for t in texts]
+            known = probe(hashes)
+            columns = kept(texts, hashes, [known.union(row or ()) for row in batch.column("_bad").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + columns, names=[f.name for f in schema.fields])
 
     return wide.mapInArrow(apply, schema)

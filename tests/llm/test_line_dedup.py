@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from gossamer.llm import line_dedup as L
+from gossamer.llm import routed
 
 EDGE = [None, "", "a\nA \nb", "\x0ba\r\nrare", "a", "x" * 300_000 + "\na", "B\n\n\nc", "a", "ab", "ÀB\n"]
 
@@ -19,10 +20,12 @@ def brute(texts, min_docs, min_chars):
     return [(len(doc), sum(k in bad for k in ks), "\n".join(x for x, k in zip(doc, ks) if k not in bad)) for doc, ks in zip(lines, keys)]
 
 
-@pytest.mark.parametrize("max_broadcast", [L.MAX_BROADCAST, -1])
+@pytest.mark.parametrize("head", [L.HEAD, 1, 0])
 @pytest.mark.parametrize("min_docs,min_chars", [(2, 1), (4, 1), (2, 2)])
-def test_matches_brute_force(docs, min_docs, min_chars, max_broadcast):
-    out = L.drop_frequent_lines(docs(EDGE), min_docs, min_chars, max_broadcast=max_broadcast).orderBy("doc_id").collect()
+def test_matches_brute_force(docs, min_docs, min_chars, head, monkeypatch):
+    monkeypatch.setattr(routed, "SHARE", 40)  # shards are copied
+    monkeypatch.setattr(routed, "RECORD", 2)
+    out = L.drop_frequent_lines(docs(EDGE), min_docs, min_chars, head=head, shard_keys=1).orderBy("doc_id").collect()
     assert [(r.n_lines, r.n_dropped, r.text) for r in out] == brute(EDGE, min_docs, min_chars)
     assert out[0].lang == "en"
 
@@ -32,6 +35,14 @@ def test_empty_table_and_clashing_columns(docs, spark):
     d = spark.createDataFrame([(1, "a", "x"), (1, "a", "y")], "doc_id long, text string, n_lines string")
     rows = L.drop_frequent_lines(d, 2).collect()
     assert [(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in rows] == [(1, "", 1, 1)] * 2
+    assert sorted(L.drop_frequent_lines(d, 2, head=0).collect()) == sorted(rows)
+
+
+def test_whole_documents_through_the_shards(spark):
+    """All of sf0.01 gives the same rows whether the arrays are sent or probed in their shards."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    a, b = ({r.doc_id: r[1:] for r in L.drop_frequent_lines(d, 10, head=h, shard_keys=50).collect()} for h in (L.HEAD, 20))
+    assert a == b and sum(x[2] for x in a.values()) > 100
 
 
 def test_perfect_hash_is_minimal():
