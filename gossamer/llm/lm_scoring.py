@@ -7,13 +7,15 @@ weighting gives it the posterior share of "stop here" against "ask the longer co
 probability of a bit mixes the estimates of all depths along the path by those shares; where a context was
 never seen, the share of deeper ones stays at the deepest node that was. Probabilities of a byte sum to 1.
 
-Counts are of all training text: one scan counts (depth + 1)-byte strings, all shorter contexts are their
-sums. ``MAX_GRAMS`` bounds what is in memory at once, not the model: a model of more strings is cut into
-shards by the two bytes before a byte, with the same predictions at the same depth. Nodes of two bytes and
-more lie in one shard; those of none and one byte, 65,536 strings at most, are in each, and what they need
-of the shards below is summed up first. Driver and tasks load one shard at a time. A shard holds whole
-two-byte contexts, so it may pass the bound where one of them does. The unigram base needs each word's
-count: see ``lookup`` for how documents get them.
+Counts are of all training text, and the model grows with it: one scan counts (depth + 1)-byte strings, all
+shorter contexts are their sums. Strings are cut into shards by the two bytes before a byte, of ``MAX_GRAMS`` strings or
+of one such context. Nodes of two bytes and more lie in one shard; those of none and one byte come from 65,536 strings
+at most, are in each, and what they need of the shards below is summed up first. Shards are weighed on executors.
+
+Scoring. Every task holds the predictions of the ``HEAD_GRAMS`` strings used most (a fixed number). A document's
+other strings, seen rarely or never, are packed by shard and shuffled to the model's part that predicts them
+(see ``routed``), so no process holds the whole model. The unigram base needs each word's count: see ``lookup``
+for how documents get them.
 
 Defined edge cases: null, empty and white-space texts are the end token alone; with no training rows every
 estimate is one half and word counts are zero; repeated rows count as documents of their own; an empty
@@ -22,20 +24,23 @@ table gives an empty result; only the id and the text are read.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gossamer.llm import lookup
+from gossamer.llm import lookup, routed
 from gossamer.llm.common import crc_bucket, extended, utf8, written
 
-DEPTH, MAX_GRAMS = 4, 1 << 21
+DEPTH = 4
+#: Strings of a shard; strings, used most, that every executor holds (12 bytes each, twice that as a table).
+MAX_GRAMS, HEAD_GRAMS = 1 << 18, 1 << 20
 END = 0x0A  # never inside a word
+_FREE = np.uint64(0xFFFFFFFFFFFFFFFF)  # no string is as long
 #: Bytes whose strings are counted or scored at once; entries of a task's counting tables.
 CHUNK, FLUSH = 1 << 21, 400_000
 
@@ -94,6 +99,42 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
 
 
+class Logs:
+    """Values of strings in open addressing: one or two gathers a string."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
+        self.slot_key = np.full(1 << self.bits, _FREE)
+        self.slot_log = np.zeros(1 << self.bits, np.float32)
+        left, self.probes = np.arange(len(keys)), 0
+        while len(left):
+            slot = self._slot(keys[left], self.probes)
+            free = self.slot_key[slot] == _FREE
+            self.slot_key[slot[free]] = keys[left[free]]  # of several for one slot, the last stays
+            won = self.slot_key[slot] == keys[left]
+            self.slot_log[slot[won]] = logs[left[won]]
+            left = left[~won]
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        return (((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64) + probe) & ((1 << self.bits) - 1)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each string, 0 where there is none, and the places of the latter."""
+        slot = self._slot(keys, 0)
+        hit = self.slot_key[slot] == keys
+        out = np.where(hit, self.slot_log[slot], np.float32(0))
+        left = np.flatnonzero(~hit)
+        for probe in range(1, self.probes):
+            if not len(left):
+                break
+            slot = self._slot(keys[left], probe)
+            hit = self.slot_key[slot] == keys[left]
+            out[left[hit]] = self.slot_log[slot[hit]]
+            left = left[~hit]
+        return out, left
+
+
 class Model:
     """Mixed predictions of every node seen, by depth and bit, and of every whole byte string seen."""
 
@@ -111,8 +152,8 @@ class Model:
             at, p = self.nodes[depth][j]
             q = p[np.searchsorted(at, node)].astype(np.float64)
             logs += np.log10(np.where(bit, q, 1 - q))
-        self.logs = logs.astype(np.float32)
-        self._hash()
+        self.logs, self.counts = logs.astype(np.float32), levels[depth][1]
+        self.seen: Logs | None = None
 
     @staticmethod
     def _levels(keys: np.ndarray, counts: np.ndarray, depth: int, top: tuple[np.ndarray, np.ndarray] | None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -179,42 +220,6 @@ class Model:
             p = np.clip(mixed + left * kt[d], 1e-7, 1 - 1e-7)
             self.nodes[d][j] = at[d], p.astype(np.float32)
 
-    def _hash(self) -> None:
-        """Open addressing over the whole strings: one or two gathers a byte."""
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(self.grams)) * 2))))
-        self.slot_key = np.full(1 << self.bits, np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.slot_log = np.zeros(1 << self.bits, np.float32)
-        left, self.probes = np.arange(len(self.grams)), 0
-        while len(left):
-            slot = self._slot(self.grams[left], self.probes)
-            free = self.slot_key[slot] == np.uint64(0xFFFFFFFFFFFFFFFF)
-            self.slot_key[slot[free]] = self.grams[left[free]]  # of several for one slot, the last stays
-            won = self.slot_key[slot] == self.grams[left]
-            self.slot_log[slot[won]] = self.logs[left[won]]
-            left = left[~won]
-            self.probes += 1
-
-    def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
-        return (((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64) + probe) & ((1 << self.bits) - 1)
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each string's last byte after the bytes before it."""
-        slot = self._slot(keys, 0)
-        hit = self.slot_key[slot] == keys
-        out = np.where(hit, self.slot_log[slot], np.float32(0))
-        left = np.flatnonzero(~hit)
-        for probe in range(1, self.probes):
-            if not len(left):
-                break
-            slot = self._slot(keys[left], probe)
-            hit = self.slot_key[slot] == keys[left]
-            out[left[hit]] = self.slot_log[slot[hit]]
-            left = left[~hit]
-        if len(left):
-            fresh, back = np.unique(keys[left], return_inverse=True)
-            out[left] = self._unseen(fresh)[back]
-        return out
-
     def _unseen(self, keys: np.ndarray) -> np.ndarray:
         logs = np.zeros(len(keys))
         for j in range(8):
@@ -228,53 +233,30 @@ class Model:
             logs += np.log10(np.where(bit, p, 1 - p))
         return logs.astype(np.float32)
 
-    def score(self, texts: list[bytes]) -> list[float]:
-        return score(texts, self.depth, lambda keys, _: self.log10(keys))
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each string's last byte after the bytes before it."""
+        if self.seen is None:
+            self.seen = Logs(self.grams, self.logs)
+        out, left = self.seen.find(keys)
+        if len(left):
+            fresh, back = np.unique(keys[left], return_inverse=True)
+            out[left] = self._unseen(fresh)[back]
+        return out
 
 
-def score(texts: list[bytes], depth: int, log10) -> list[float]:
-    """The sum of ``log10(strings, their chunk)`` over each text."""
-    out: list[float] = []
-    for c, (a, b) in enumerate(chunks(texts)):
+def score(texts: list[bytes], depth: int, strings: Logs) -> tuple[list[float], list[tuple[np.ndarray, np.ndarray]]]:
+    """The sum over each text of what is known of its strings, and its other strings with their uses."""
+    sums: list[float] = []
+    others: list[tuple[np.ndarray, np.ndarray]] = []
+    for a, b in chunks(texts):
         keys, first, size = stream(texts[a:b], depth)
-        logs = log10(keys, c).astype(np.float64)
-        out += [float(logs[f : f + n].sum()) for f, n in zip(first, size)]
-    return out
-
-
-class Shards:
-    """Models of ranges of two-byte contexts, of which a process holds one."""
-
-    def __init__(self, models: list, last: np.ndarray, depth: int):
-        self.models, self.last, self.depth = models, last, depth  # broadcasts; the last context of each
-
-    def score(self, texts: list[bytes]) -> list[float]:
-        if len(self.models) == 1:
-            return self.models[0].value.score(texts)
-        logs: list[np.ndarray] = []
-        for a, b in chunks(texts):
-            logs.append(np.zeros(len(stream(texts[a:b], self.depth)[0]), np.float32))
-        for k, model in enumerate(self.models):
-            held = model.load_from_path(model._path) if "_path" in vars(model) else model.value  # not kept
-            for c, (a, b) in enumerate(chunks(texts)):
-                keys = stream(texts[a:b], self.depth)[0]
-                own = np.flatnonzero(np.searchsorted(self.last, _context(keys)) == k)
-                if len(own):
-                    logs[c][own] = held.log10(keys[own])
-        return score(texts, self.depth, lambda _, c: logs[c])
-
-
-def _context(keys: np.ndarray) -> np.ndarray:
-    """The two bytes before a string's last one."""
-    return (keys >> np.uint64(8)) & np.uint64(0xFFFF)
-
-
-def _word_key(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
-
-def _signed(values, n: int) -> np.ndarray:
-    return np.fromiter(values, np.uint64, n).view(np.int64)
+        logs, left = strings.find(keys)
+        logs = logs.astype(np.float64)
+        bound = np.searchsorted(left, np.stack([first, first + size]))
+        for f, n, i, j in zip(first, size, *bound):
+            sums.append(float(logs[f : f + n].sum()))
+            others.append(np.unique(keys[left[i:j]], return_counts=True))
+    return sums, others
 
 
 def _words(text: bytes) -> Counter[bytes]:
@@ -284,17 +266,21 @@ def _words(text: bytes) -> Counter[bytes]:
 
 
 def training_counts(docs: DataFrame, depth: int, folds: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
-    """(key, n) of byte strings and of words over the rows not held out, each written."""
+    """(key, n) of byte strings and (k1, k2, n) of words over the rows not held out, written."""
 
     def scan(batches):
         words: Counter[bytes] = Counter()
         grams: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def rows(kind: bool, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "key", "n"])
+        def rows(kind: bool, k1: np.ndarray, k2: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(k1)), pa.array(k1.view(np.int64)), pa.array(k2), pa.array(n.astype(np.int64))], names=["gram", "k1", "k2", "n"])
 
         def flush_words():
-            return rows(False, _signed(map(_word_key, words), len(words)), np.fromiter(words.values(), np.int64, len(words)))
+            keys = lookup.halves(map(lookup.digest, words))
+            return rows(False, np.ascontiguousarray(keys[:, 0]), keys[:, 1], np.fromiter(words.values(), np.int64, len(words)))
+
+        def flush_grams(keys: np.ndarray, n: np.ndarray):
+            return rows(True, keys, np.zeros(len(keys), np.int64), n)
 
         for batch in batches:
             texts = [t for i, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1))) if crc_bucket(i, folds)]
@@ -303,68 +289,110 @@ def training_counts(docs: DataFrame, depth: int, folds: int, text: str, doc_id:
                 if sum(len(k) for k, _ in grams) > 2 * FLUSH:
                     grams = [merged(*(np.concatenate(c) for c in zip(*grams)))]
                     if len(grams[0][0]) > FLUSH:
-                        yield rows(True, *grams.pop())
+                        yield flush_grams(*grams.pop())
             for t in texts:
                 words.update(_words(t))
                 if len(words) > FLUSH:
                     yield flush_words()
                     words.clear()
         if grams:
-            yield rows(True, *merged(*(np.concatenate(c) for c in zip(*grams))))
+            yield flush_grams(*merged(*(np.concatenate(c) for c in zip(*grams))))
         if words:
             yield flush_words()
 
-    each = docs.select(doc_id, text).mapInArrow(scan, "gram boolean, key long, n long")
-    all_ = written(each.groupBy("gram", "key").agg(F.sum("n").alias("n")), "lm-counts")
-    return all_.where("gram").select("key", "n"), all_.where("NOT gram").select("key", "n")
+    each = docs.select(doc_id, text).mapInArrow(scan, "gram boolean, k1 long, k2 long, n long")
+    all_ = written(each.groupBy("gram", "k1", "k2").agg(F.sum("n").alias("n")), "lm-counts")
+    return all_.where("gram").select(F.col("k1").alias("key"), "n"), all_.where("NOT gram").select("k1", "k2", "n")
 
 
-def _arrays(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    got = grams.toArrow()
-    return got.column("key").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy().astype(np.float64)
+def _arrays(grams: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return grams.column("key").to_numpy().astype(np.int64).view(np.uint64), grams.column("n").to_numpy().astype(np.float64)
 
 
-def fitted(grams: DataFrame, depth: int, max_grams: int) -> Shards:
-    """The model of all strings at the full depth, in as many shards as ``max_grams`` asks for."""
-    send = grams.sparkSession.sparkContext.broadcast
-    if depth < 2 or grams.count() <= max_grams:
-        return Shards([send(Model(*_arrays(grams), depth))], np.array([0xFFFF], np.uint64), depth)
+def shard_ends(grams: DataFrame, max_grams: int) -> np.ndarray:
+    """The last two-byte context of each shard: ranges of contexts with ``max_grams`` strings, if none has more alone."""
     context = F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFF)
-    loads = sorted((r.c, r["count"]) for r in grams.groupBy(context.alias("c")).count().collect())
-    ends, held = [], 0
-    for (_, n), before in zip(loads, [None, *loads]):
+    ends, held, before = [], 0, 0
+    for c, n in sorted((r.c, r["count"]) for r in grams.groupBy(context.alias("c")).count().collect()):  # 65,536 at most
         if held and held + n > max_grams:
-            ends.append(before[0])
+            ends.append(before)
             held = 0
-        held += n
-    ends.append(0xFFFF)
-    parts = [grams.where(context.between(a + 1, b)) for a, b in zip([-1, *ends], ends)]
-    top = merged(*_arrays(grams.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n"))))
-    below = None
-    for part in parts:
-        more = Model.below_top(*_arrays(part), depth, top)
-        below = more if below is None else [x + y for x, y in zip(below, more)]
-    return Shards([send(Model(*_arrays(part), depth, top, below)) for part in parts], np.array(ends, np.uint64), depth)
-
-
-def scored(docs: DataFrame, depth: int = DEPTH, folds: int = 10, max_grams: int = MAX_GRAMS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+        held, before = held + n, c
+    return np.array([*ends, 0xFFFF], np.int64)
+
+
+def shard_of(keys: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return np.searchsorted(ends, ((keys >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)).astype(np.int32)
+
+
+def fitted(grams: DataFrame, depth: int, max_grams: int) -> tuple[DataFrame, np.ndarray]:
+    """(shard, blob): the model of all strings, and the last context of each shard. Shards are made on executors."""
+    ends = shard_ends(grams, max_grams)
+
+    def deal(batches):
+        for batch in batches:
+            shard = shard_of(batch.column(0).to_numpy().view(np.uint64), ends)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns], names=["shard", "key", "n"])
+
+    dealt = written(grams.mapInArrow(deal, "shard int, key long, n long"), "lm-strings")
+    if depth < 2:  # 65,536 strings at most
+        top = below = None
+    else:
+        top = merged(*_arrays(grams.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n")).toArrow()))
+
+        def under(part: pa.Table) -> pa.Table:
+            sums = Model.below_top(*_arrays(part), depth, top)
+            node = [np.flatnonzero(x) for x in sums]
+            bit, value = np.repeat(np.arange(8), list(map(len, node))), np.concatenate([x[at] for x, at in zip(sums, node)])
+            return pa.table({"bit": pa.array(bit, pa.int32()), "node": pa.array(np.concatenate(node), pa.int32()), "value": value})
+
+        rows = dealt.groupBy("shard").applyInArrow(under, "bit int, node int, value double").groupBy("bit", "node").agg(F.sum("value").alias("value")).toArrow()
+        bit, node, value = (rows.column(k).to_numpy() for k in ("bit", "node", "value"))  # a node of a one-byte context each
+        below = [np.bincount(node[bit == j], weights=value[bit == j], minlength=len(np.unique(Model._node(top[0], j)[0]))) for j in range(8)]
+
+    def build(part: pa.Table) -> pa.Table:
+        model = Model(*_arrays(part), depth, top, below)
+        return pa.table({"shard": part.column("shard")[:1], "blob": pa.array([pickle.dumps(model)], pa.binary())})
+
+    return written(dealt.groupBy("shard").applyInArrow(build, "shard int, blob binary"), "lm-shards"), ends
+
+
+def head_of(shards: DataFrame, size: int) -> Logs:
+    """The strings used most, with what the model says of them."""
+
+    def unpack(batches):
+        for batch in batches:
+            for blob in batch.column(0):
+                m = pickle.loads(blob.as_py())
+                for k in range(0, len(m.grams), FLUSH):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + FLUSH]) for x in (m.grams.view(np.int64), m.counts.astype(np.int64), m.logs)], names=["key", "n", "log"])
+
+    rows = shards.select("blob").mapInArrow(unpack, "key long, n long, log float").orderBy(F.desc("n"), "key").limit(size).select("key", "log").toArrow()
+    return Logs(rows.column(0).to_numpy().astype(np.int64).view(np.uint64), rows.column(1).to_numpy().astype(np.float32))
+
+
+#: A probe: the row, the string, how often the row has it.
+PROBE = np.dtype([("row", "V16"), ("key", np.uint64), ("times", np.int64)])
+
+
+def scored(docs: DataFrame, depth: int = DEPTH, folds: int = 10, max_grams: int = MAX_GRAMS, head_grams: int = HEAD_GRAMS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row."""
     spark = docs.sparkSession
     grams, words = training_counts(docs, depth, folds, text, doc_id)
-    model = fitted(grams, depth, max_grams)
+    shards, ends = fitted(grams, depth, max_grams)
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = spark.sparkContext.broadcast(lookup.head_of(words, "key", "n", "n"))
-    new = [T.StructField(n, t) for n, t in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("near_known", T.LongType()), ("near", T.DoubleType()), ("score", T.DoubleType()), ("bits_per_byte", T.DoubleType()))]
-    schema = extended(docs.select(doc_id).schema, [*new, *lookup.TAIL_FIELDS])
+    sent = spark.sparkContext.broadcast((lookup.Head.of(words, "n", "n"), head_of(shards, head_grams)))
+    new = [T.StructField(n, t) for n, t in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("near_known", T.LongType()), ("near", T.DoubleType()), ("near_score", T.DoubleType()), ("n_bytes", T.LongType()))]
+    schema = extended(docs.select(doc_id).schema, [*new, *lookup.TAIL_FIELDS, T.StructField("_strings", T.ArrayType(T.LongType())), T.StructField("_uses", T.ArrayType(T.IntegerType()))])
     rare = float(np.log10(0.1))  # what a word without a count adds
 
     def scan(batches):
-        known: dict[bytes, int] = {}
+        known: dict[bytes, bytes] = {}
         for batch in batches:
             ids, texts = batch.column(0), utf8(batch.column(1))
-            keys, values = head.value
-            logs = np.log10(values + 0.1)
-            scores = model.score(texts)
+            top, strings = sent.value
+            logs = np.log10(top.values + 0.1)
+            scores, far = score(texts, depth, strings)
             cols: list[list] = [[] for _ in range(4)]
             tails = []
             for t in texts:
@@ -372,27 +400,49 @@ def scored(docs: DataFrame, depth: int = DEPTH, folds: int = 10, max_grams: int
                 if len(known) > FLUSH:
                     known.clear()
                 fresh = [w for w in freq if w not in known]
-                known.update(zip(fresh, map(_word_key, fresh)))
-                k = _signed(map(known.__getitem__, freq), len(freq))
+                known.update(zip(fresh, map(lookup.digest, fresh)))
+                k = lookup.halves(map(known.__getitem__, freq))
                 n = np.fromiter(freq.values(), np.int64, len(freq))
-                at, there = lookup.find(k, keys)
+                at, there = top.find(k)
                 cols[0].append(int(n.sum()))
                 cols[1].append(int(n[there].sum()))
                 cols[2].append(float((logs[at[there]] * n[there]).sum()))
                 cols[3].append(len(b" ".join(t.split())) + 1)
                 tails.append((k[~there], n[~there].astype(np.int32)))
             held = [crc_bucket(i, folds) == 0 for i in ids.to_pylist()]
-            bits = [-s / np.log10(2) / b for s, b in zip(scores, cols[3])]
+            cuts = pa.array(np.cumsum([0] + [len(k) for k, _ in far]), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([x[c] for x in far] or [np.zeros(0)]).astype(kind))) for c, kind in ((0, np.int64), (1, np.int32))]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(held), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64()), *lookup.tail_columns(tails)],
+                [ids, pa.array(held), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(scores, pa.float64()), pa.array(cols[3], pa.int64()), lookup.row_names(len(held)), lookup.tail_column(tails), *lists],
                 names=schema.names,
             )
 
+    def ask(batches):
+        for batch in batches:
+            size = batch.column("_strings").value_lengths().to_numpy()
+            flat = np.empty(int(size.sum()), PROBE)
+            flat["row"] = np.repeat(np.frombuffer(b"".join(batch.column("_row").to_pylist()), "V16"), size)
+            flat["key"], flat["times"] = batch.column("_strings").flatten().to_numpy().view(np.uint64), batch.column("_uses").flatten().to_numpy()
+            if len(flat):
+                yield from routed.packed(shard_of(flat["key"], ends), flat)
+
+    def answer(model: Model, flat: np.ndarray) -> pa.RecordBatch:
+        names, at = np.unique(flat["row"].copy().view(np.uint64).reshape(-1, 2), axis=0, return_inverse=True)
+        sums = np.bincount(at.ravel(), weights=model.log10(flat["key"].copy()).astype(np.float64) * flat["times"], minlength=len(names))
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in names], pa.binary()), pa.array(sums)], names=["_row", "far_score"])
+
     rows = written(docs.select(doc_id, text).mapInArrow(scan, schema), "lm-rows")
-    more = {"far_known": lambda times: times, "far": lambda times: times * (F.log10(F.col("n") + 0.1) - rare)}
-    out = lookup.joined_sums(rows, words, "key", more)
-    known = F.col("near_known") + F.coalesce("far_known", F.lit(0))
-    # A tail word without a count adds ``rare``; those with one got the difference above.
-    raw = F.col("near") + F.coalesce("far", F.lit(0.0)) + (F.col("n_tokens") - F.col("near_known")) * F.lit(rare)
-    below = float(np.log10(total + 0.1 * (distinct + 1)))
-    return out.select(doc_id, "held_out", "n_tokens", known.alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (raw - F.col("n_tokens") * F.lit(below)).alias("base_score"), "score", "bits_per_byte")
+    asked = rows.where(F.size("_strings") > 0).select("_row", "_strings", "_uses").mapInArrow(ask, "shard int, data binary")
+    strings = routed.answered(shards, asked, PROBE, pickle.loads, answer, "_row binary, far_score double")
+    # A tail word without a count adds ``rare``; those with one add the difference.
+    hits = lookup.tail_hits(rows, words).select("_row", F.col("times").cast("long").alias("far_known"), (F.col("times") * (F.log10(F.col("n") + 0.1) - rare)).alias("far"), F.lit(0.0).alias("far_score"))
+    hits = hits.unionByName(strings.select("_row", F.lit(0).cast("long").alias("far_known"), F.lit(0.0).alias("far"), "far_score"))
+    more = hits.groupBy("_row").agg(*(F.sum(c).alias(c) for c in ("far_known", "far", "far_score")))
+    out = rows.drop("_tail", "_strings", "_uses").join(more, "_row", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("far_known", "far", "far_score")})
+    raw = F.col("near") + F.col("far") + (F.col("n_tokens") - F.col("near_known")) * F.lit(rare)
+    under = float(np.log10(total + 0.1 * (distinct + 1)))
+    log = F.col("near_score") + F.col("far_score")
+    return out.select(
+        doc_id, "held_out", "n_tokens", (F.col("near_known") + F.col("far_known")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        (raw - F.col("n_tokens") * F.lit(under)).alias("base_score"), log.alias("score"), (-log / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
+    )

@@ -1,57 +1,84 @@
 """Sums over a document's distinct keys of values that a table holds by key.
 
-Keys are split in two by how often the whole corpus uses them. The ``HEAD`` most used ones (a fixed
-number, so their broadcast has a fixed size) are added up where the document is read. The rest are
-shuffled to the table: no such key can be hot, because ``HEAD`` keys are used more often than it.
+Keys are 128-bit hashes in two longs, so that distinct strings keep distinct keys at any corpus size. They are
+split by how often the whole corpus uses them. The ``HEAD`` most used ones (a fixed number, so their broadcast
+has a fixed size) are added up where the document is read. The rest are shuffled to the table: no such key can be
+hot, because ``HEAD`` keys are used more often than it.
 """
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Keys whose values every executor holds: 16 bytes each.
+#: Keys whose values every executor holds: 24 bytes each.
 HEAD = 1 << 17
 
-#: What a document scan adds for ``joined_sums``: a key of the row, and the keys the head doesn't have.
-TAIL_FIELDS = [T.StructField("_row", T.LongType()), T.StructField("_keys", T.ArrayType(T.LongType())), T.StructField("_times", T.ArrayType(T.IntegerType()))]
+_TAIL = pa.struct([("k1", pa.int64()), ("k2", pa.int64()), ("times", pa.int32())])
+
+#: What a document scan adds for ``tail_hits``: a name for the row, and the keys the head doesn't have.
+TAIL_FIELDS = [
+    T.StructField("_row", T.BinaryType()),
+    T.StructField("_tail", T.ArrayType(T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("times", T.IntegerType())]))),
+]
+
+
+def digest(word: bytes | str) -> bytes:
+    return xxhash.xxh3_128_digest(word)
+
 
+def halves(digests: Iterable[bytes]) -> np.ndarray:
+    """(n, 2) longs of 16-byte digests."""
+    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
 
-def head_of(table: DataFrame, key: str, value: str, used: str) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, sorted, and values of the most used ``HEAD`` keys."""
-    rows = table.orderBy(F.desc(used), key).limit(HEAD).select(key, value).toArrow()
-    keys, values = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-    order = np.argsort(keys)
-    return keys[order], values[order]
 
+class Head:
+    """The most used keys with their values. Of keys that share a first half, none is taken."""
 
-def find(keys: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each key its place in the sorted head, and whether it is there."""
-    if not len(head):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(head, keys), len(head) - 1)
-    return at, head[at] == keys
+    def __init__(self, k1: np.ndarray, k2: np.ndarray, values: np.ndarray):
+        order = np.argsort(k1, kind="stable")
+        k1, k2, values = k1[order], k2[order], values[order]
+        once = np.ones(len(k1), bool)
+        once[1:] &= k1[1:] != k1[:-1]
+        once[:-1] &= k1[:-1] != k1[1:]
+        self.k1, self.k2, self.values = k1[once], k2[once], values[once]
 
+    @classmethod
+    def of(cls, table: DataFrame, value: str, used: str, size: int | None = None) -> Head:
+        rows = table.orderBy(F.desc(used), "k1", "k2").limit(size or HEAD).select("k1", "k2", value).toArrow()
+        return cls(*(rows.column(k).to_numpy() for k in range(3)))
 
-def tail_columns(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
-    """TAIL_FIELDS from each row's keys and how often it has them."""
-    row = np.frombuffer(np.random.default_rng().bytes(8 * len(rows)), np.int64)
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each key its place, and whether it is there."""
+        if not len(self.k1):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.k1, keys[:, 0]), len(self.k1) - 1)
+        return at, (self.k1[at] == keys[:, 0]) & (self.k2[at] == keys[:, 1])
+
+
+def row_names(n: int) -> pa.Array:
+    """A random name of 128 bits for each of ``n`` rows."""
+    flat = os.urandom(16 * n)
+    return pa.array([flat[16 * k : 16 * k + 16] for k in range(n)], pa.binary())
+
+
+def tail_column(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """The second of TAIL_FIELDS from each row's keys and how often it has them."""
     ends = np.cumsum([0] + [len(k) for k, _ in rows])
-    keys = np.concatenate([k for k, _ in rows]) if rows else np.zeros(0, np.int64)
+    keys = np.concatenate([k for k, _ in rows]) if rows else np.zeros((0, 2), np.int64)
     times = np.concatenate([t for _, t in rows]) if rows else np.zeros(0, np.int32)
-    offsets = pa.array(ends, pa.int32())
-    return [pa.array(row), pa.ListArray.from_arrays(offsets, pa.array(keys, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))]
-
+    parts = [pa.array(keys[:, 0], pa.int64()), pa.array(keys[:, 1], pa.int64()), pa.array(times, pa.int32())]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, fields=list(_TAIL)))
 
-def joined_sums(rows: DataFrame, table: DataFrame, key: str, sums: dict[str, callable]) -> DataFrame:
-    """``rows`` (written, with TAIL_FIELDS) with each of ``sums`` added up over its tail keys.
 
-    ``sums`` maps a column name to a function of the column ``times`` giving what one key adds.
-    """
-    flat = rows.select("_row", F.explode(F.arrays_zip("_keys", "_times")).alias("k")).select("_row", F.col("k._keys").alias(key), F.col("k._times").alias("times"))
-    met = flat.join(table, key)
-    each = met.groupBy("_row").agg(*(F.sum(make(F.col("times"))).alias(name) for name, make in sums.items()))
-    return rows.drop("_keys", "_times").join(each, "_row", "left").drop("_row")
+def tail_hits(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """(_row, times, the table's other columns) of each tail key of ``rows`` (written, with TAIL_FIELDS) in the table."""
+    flat = rows.select("_row", F.explode("_tail").alias("t")).select("_row", "t.k1", "t.k2", "t.times")
+    return flat.join(table, ["k1", "k2"]).drop("k1", "k2")

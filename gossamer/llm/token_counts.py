@@ -16,7 +16,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,12 +28,8 @@ from gossamer.llm.common import extended, utf8, written
 FLUSH = 400_000
 
 
-def _keys(words: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64)
-
-
 def pre_token_pieces(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
-    """(key, used, pieces) of every distinct pre-token: a hash of it, its uses, its token count."""
+    """(k1, k2, used, pieces) of every distinct pre-token: a hash of it, its uses, its token count."""
     sent = vocabulary.sent
 
     def count(batches):
@@ -58,23 +53,24 @@ def pre_token_pieces(docs: DataFrame, vocabulary: Vocabulary, text: str = "text"
             a = compiled(sent)
             words = batch.column(0).to_pylist()
             n = [1 if w in a.special else len(a.encode_word(w.encode())) for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array(_keys(words)), batch.column(1), pa.array(n, pa.int64())], names=["key", "used", "pieces"])
+            keys = lookup.halves(map(lookup.digest, words))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), batch.column(1), pa.array(n, pa.int64())], names=["k1", "k2", "used", "pieces"])
 
     words = docs.select(text).mapInArrow(count, "word string, used long").groupBy("word").agg(F.sum("used").alias("used"))
-    return words.mapInArrow(cost, "key long, used long, pieces long")
+    return words.mapInArrow(cost, "k1 long, k2 long, used long, pieces long")
 
 
 def token_counts(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row."""
     sent = vocabulary.sent
     table = written(pre_token_pieces(docs, vocabulary, text), "pieces")
-    head = docs.sparkSession.sparkContext.broadcast(lookup.head_of(table, "key", "pieces", "used"))
+    head = docs.sparkSession.sparkContext.broadcast(lookup.Head.of(table, "pieces", "used"))
     schema = extended(docs.select(doc_id).schema, [T.StructField("n_bytes", T.LongType()), T.StructField("near", T.LongType()), *lookup.TAIL_FIELDS])
 
     def scan(batches):
-        known: dict[str, int] = {}
+        known: dict[str, bytes] = {}
         for batch in batches:
-            pieces, (keys, values) = compiled(sent).pieces, head.value
+            pieces, top = compiled(sent).pieces, head.value
             size, near, tails = [], [], []
             for t in utf8(batch.column(1)):
                 freq = Counter(pieces(t.decode("utf-8", "replace")))
@@ -82,15 +78,16 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", do
                 if len(known) > FLUSH:
                     known.clear()
                     fresh = list(freq)
-                known.update(zip(fresh, _keys(fresh).tolist()))
-                k = np.fromiter(map(known.__getitem__, freq), np.int64, len(freq))
+                known.update(zip(fresh, map(lookup.digest, fresh)))
+                k = lookup.halves(map(known.__getitem__, freq))
                 n = np.fromiter(freq.values(), np.int64, len(freq))
-                at, there = lookup.find(k, keys)
+                at, there = top.find(k)
                 size.append(len(t))
-                near.append(int((values[at[there]] * n[there]).sum()) if there.any() else 0)
+                near.append(int((top.values[at[there]] * n[there]).sum()) if there.any() else 0)
                 tails.append((k[~there], n[~there].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(near, pa.int64()), *lookup.tail_columns(tails)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(near, pa.int64()), lookup.row_names(len(size)), lookup.tail_column(tails)], names=schema.names)
 
     rows = written(docs.select(doc_id, text).mapInArrow(scan, schema), "frequencies")
-    out = lookup.joined_sums(rows, table.select("key", "pieces"), "key", {"far": lambda times: times * F.col("pieces")})
+    far = lookup.tail_hits(rows, table.select("k1", "k2", "pieces")).groupBy("_row").agg(F.sum(F.col("times") * F.col("pieces")).alias("far"))
+    out = rows.drop("_tail").join(far, "_row", "left")
     return out.select(doc_id, "n_bytes", (F.col("near") + F.coalesce("far", F.lit(0))).alias("n_tokens"))

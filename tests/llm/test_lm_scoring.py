@@ -62,7 +62,8 @@ def test_weighting_matches_definition(depth):
     train, other = TEXTS[:5], ["the cap ate", "Qq", "", "über ñ mat"]
     keys, n = L.count_grams([(t or "").encode() for t in train], depth)
     model, brute = L.Model(keys, n.astype(float), depth), brute_model(train, depth)
-    got = model.score([(t or "").encode() for t in train + other])
+    got, left = L.score([(t or "").encode() for t in train + other], depth, L.Logs(model.grams, model.logs))
+    got = [x + float((model.log10(k) * n).sum()) for x, (k, n) in zip(got, left)]
     assert np.allclose(got, [brute(t) for t in train + other], rtol=1e-4, atol=1e-3)
 
 
@@ -96,4 +97,11 @@ def test_query_matches_brute_force(docs, monkeypatch, head):
 
 def test_bounded_model_and_empty_tables(docs):
     assert L.scored(docs([])).count() == 0
-    assert L.scored(docs(TEXTS), depth=4, max_grams=1).count() == len(TEXTS)
+    assert L.scored(docs(TEXTS), depth=4, max_grams=1, head_grams=0).count() == len(TEXTS)
+
+
+def test_very_long_text_repeated_rows_and_clashing_columns(docs):
+    long = "the cat sat on a mat " * 100_000
+    d = docs(["the cat", long, "the cat"], [1, 2, 1]).selectExpr("*", "'x' AS score", "1 AS _row", "2 AS near")
+    rows = sorted((r.doc_id, r.n_tokens, r.score) for r in L.scored(d).collect())
+    assert [r[:2] for r in rows] == [(1, 3), (1, 3), (2, 600_001)] and rows[0] == rows[1] and rows[2][2] < rows[0][2] < 0
