@@ -2,6 +2,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 
 from gossamer.llm import decontaminate as D
@@ -114,6 +115,8 @@ def test_whole_documents_against_brute_force(spark, sf, most):
             words = [w if r.random() < 0.9 else r.choice(["Zoe", "17", "km", "other", "2,5"]) for w in words]
         if k % 3 == 1:
             words = [re.sub(r"[0-9]+", "88", w) for w in words] * 2
+        if k % 3 == 2:  # other numbers and names, one for one
+            words = [re.sub(r"\b[A-Z]", "Zu", w).translate(str.maketrans("0123456789", "3456789012")) for w in words]
         texts[10**6 + k] = PAD * (k % 4) + " ".join(words) + " " + PAD
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
