@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The characters the contracts count as white space: U+0020 and U+0009 to U+000D.
@@ -78,6 +79,21 @@ def extended(schema: T.StructType, new: list[T.StructField], dropped: tuple[str,
     return T.StructType([f for f in schema.fields if f.name.lower() not in gone] + new)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
+def with_extra(df: DataFrame, key: Column, found: DataFrame, on: str, column: str) -> tuple[DataFrame, str]:
+    """``df`` left joined by its ``key`` to ``found``'s ``on``, with its ``column`` under a name that clashes with none."""
+    key_name, name = fresh(df, on), fresh(df, column)
+    found = found.select(F.col(on).alias(key_name), F.col(column).alias(name))
+    return df.withColumn(key_name, key).join(found, key_name, "left").drop(key_name), name
+
+
 def appended(df: DataFrame, new: list[T.StructField], make, text: str = "text", dropped: tuple[str, ...] = ()) -> DataFrame:
     """Append columns that ``make(list of UTF-8 texts) -> list of arrow arrays`` computes batch by batch."""
     small_batches(df.sparkSession)

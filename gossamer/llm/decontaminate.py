@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gossamer.llm.common import appended, extended, utf8, written
+from gossamer.llm.common import appended, extended, utf8, with_extra, written
 
 #: Words of a window; share of an item's windows; share of slots that must agree.
 WINDOW, SIMILARITY, AGREEMENT = 5, 0.8, 0.9
@@ -383,7 +383,8 @@ def _marked_by_join(docs: DataFrame, benchmark: DataFrame, window: int, similari
     met = docs.select(text).mapInArrow(ask, "_name string, hash long").join(prefix, "hash").select("_name", "item").distinct()
     # A text holds a candidate's rarest windows, so its own length bounds how many it has.
     candidates = met.join(items, "item").groupBy("_name").agg(F.collect_list(F.struct("item", "item_text", "ids")).alias("_items"))
-    wide = docs.drop(*[c for c in docs.columns if c.lower() == "leaks"]).withColumn("_name", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).join(written(candidates, "item-candidates"), "_name", "left").drop("_name")
+    name = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    wide, extra = with_extra(docs, name, written(candidates, "item-candidates"), "_name", "_items")
     kind = _leaks_type(benchmark)
     arrow = _arrow_type(kind)
     schema = extended(docs.schema, [T.StructField("leaks", kind)])
@@ -392,7 +393,7 @@ def _marked_by_join(docs: DataFrame, benchmark: DataFrame, window: int, similari
     def run(batches):
         for batch in batches:
             leaks = []
-            for t, held in zip(utf8(batch.column(text)), batch.column("_items").to_pylist()):
+            for t, held in zip(utf8(batch.column(text)), batch.column(extra).to_pylist()):
                 held = sorted(held or (), key=lambda x: x["item"])
                 found = batch_leaks([t], Benchmark([(x["ids"], x["item_text"].encode()) for x in held], window, similarity), agreement)[0] if held else []
                 leaks.append([x | {"item_id": i} for x in found for i in x["item_id"]])

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gossamer.llm import routed
-from gossamer.llm.common import SPACE, appended, extended, rows_of, utf8, written
+from gossamer.llm.common import SPACE, appended, extended, rows_of, utf8, with_extra, written
 
 #: Entries of a task's counting table before it is handed on; bounds a worker's memory.
 FLUSH = 400_000
@@ -256,7 +256,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     hits = routed.answered(shards, docs.select(text).mapInArrow(ask, "shard int, data binary"), PROBE, lambda blob: LineIndex({0: blob}, 1), answer, "_name binary, line binary")
     bad = written(hits.groupBy("_name").agg(F.collect_set("line").alias("_bad")), "line-hits")
     name = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    wide = docs.withColumn("_name", name).join(bad, "_name", "left").drop("_name")
+    wide, extra = with_extra(docs, name, bad, "_name", "_bad")
     schema = extended(docs.schema, new)
     keep = [f.name for f in schema.fields[:-3]]
 
@@ -265,7 +265,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
             texts = utf8(batch.column(text))
             hashes = [line_hashes(t, min_chars) for t in texts]
             known = probe(hashes)
-            columns = kept(texts, hashes, [known.union(row or ()) for row in batch.column("_bad").to_pylist()])
+            columns = kept(texts, hashes, [known.union(row or ()) for row in batch.column(extra).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + columns, names=[f.name for f in schema.fields])
 
     return wide.mapInArrow(apply, schema)
