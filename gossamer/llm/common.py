@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 SPACE = b" \t\n\x0b\x0c\r"
 
 _RUN = uuid.uuid4().hex
+_WRITTEN: list[str] = []
 
 #: Rows and bytes handed to a Python worker at once; a single larger row comes alone.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
@@ -52,14 +53,42 @@ def written(df: DataFrame, label: str) -> DataFrame:
     small_batches(spark)
     path = f"{shared_dir(spark)}/gossamer-{_RUN}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` returned, once all that was made of them is written too."""
+    for df in tables:
+        if df._written_to in _WRITTEN:
+            _WRITTEN.remove(df._written_to)
+            _delete(df.sparkSession, df._written_to)
+
+
+def n_written() -> int:
+    """How many intermediate tables there are; see ``dropped_since``."""
+    return len(_WRITTEN)
+
+
+def dropped_since(spark: SparkSession, first: int, keep: DataFrame) -> None:
+    """Delete the intermediate tables after the first ``first`` ones, but for ``keep``."""
+    for path in _WRITTEN[first:]:
+        if path != keep._written_to:
+            _delete(spark, path)
+    _WRITTEN[first:] = [keep._written_to]
 
 
 def clear_written(spark: SparkSession) -> None:
     """Delete the intermediate tables of this process once their results have been consumed."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gossamer-{_RUN}")
-    path.getFileSystem(conf).delete(path, True)
+    _WRITTEN.clear()
+    _delete(spark, f"{shared_dir(spark)}/gossamer-{_RUN}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm.common import utf8, written
+from gossamer.llm.common import dropped, utf8, written
 
 SEED = 42
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
@@ -171,7 +171,8 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = mark
-        now = written(star(star(now, True), False), "links")
+        before, now = now, written(star(star(now, True), False), "links")
+        dropped(before)
 
 
 def near_duplicate_groups(docs: DataFrame, shingle: int = 3, text: str = "text", doc_id: str = "doc_id", crowd: int = CROWD) -> DataFrame:
@@ -374,7 +375,8 @@ def similar_links(sets: DataFrame, crowd: int = CROWD) -> DataFrame:
 def similar_groups(docs: DataFrame, shingle: int = 5, text: str = "text", doc_id: str = "doc_id", crowd: int = CROWD) -> DataFrame:
     """(doc_id, component_id) by near copies: shingles of five words, similarity of 0.8 or more.
 
-    Rows without an id are left out.
+    Ids may be of any type that has an order. Rows without an id are left out; texts without words are copies of each
+    other; repeated rows are harmless; an empty table gives an empty result; only the id and the text are read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,58 +387,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, text: str = "text", doc_id
     docs = docs.where(F.col(doc_id).isNotNull())
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = written(docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, node long"), "similar-rows")
-    roots = components(similar_links(shingle_prefixes(docs, shingle, text), crowd))
+    sets = shingle_prefixes(docs, shingle, text)
+    roots = components(similar_links(sets, crowd))
     first = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
     known = written(first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "similar-roots")
+    dropped(sets)
     best = known.groupBy("root").agg(F.min("first").alias("component_id"))
     named = known.join(best, "root").select("node", "component_id")
     return rows.join(named, "node").select(F.col("doc_id").alias(doc_id), "component_id")
-
-
-# ------------------------------------------------------------------------ estimate of the similarity
-#
-# The pipeline linked by this before; nothing but tests calls it.
-
-WORD_BITS, SHINGLE_BITS = 256, 512
-SEGMENTS = WORD_BITS // 32
-#: Bits that may differ. For the shingles: the 78 that a similarity of 0.8 gives, and 1.6 standard deviations.
-WORD_APART, SHINGLE_APART = 40, 91
-#: Mixing constants (of the splitmix64 generator); fixed values.
-_STEP, _MIX_1, _MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _ones(raw: np.ndarray) -> np.ndarray:
-    """How many rows of ``raw`` (n, bytes) have each bit; sums of 255 rows fit a byte."""
-    ones = np.zeros(8 * raw.shape[1], np.int64)
-    for k in range(0, len(raw), 255 * 16):
-        bits = np.unpackbits(raw[k : k + 255 * 16], axis=1, bitorder="little")
-        whole = len(bits) // 255 * 255
-        ones += np.add.reduce(bits[:whole].reshape(-1, 255, len(ones)), axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-        ones += np.add.reduce(bits[whole:], axis=0, dtype=np.uint8)
-    return ones
-
-
-def _bits(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """The majority of each bit over distinct hashes, every one of them drawn out to ``bits`` bits."""
-    ones = np.zeros(bits, np.int64)
-    lane = np.arange(1, bits // 64 + 1, dtype=np.uint64) * _STEP
-    for k in range(0, len(hashes), BLOCK // 8):
-        x = hashes[k : k + BLOCK // 8, None] + lane
-        x = (x ^ (x >> np.uint64(30))) * _MIX_1
-        x = (x ^ (x >> np.uint64(27))) * _MIX_2
-        ones += _ones((x ^ (x >> np.uint64(31))).view(np.uint8))
-    return np.packbits(2 * ones > len(hashes), bitorder="little")
-
-
-def wide_fingerprint(text: bytes, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(segments over distinct words, 64-bit parts over distinct shingles); a text without words has zeros.
-
-    A shingle's hash is a polynomial of its words' hashes; a shorter text is one shingle.
-    """
-    words = text.lower().split()
-    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    n = max(1, len(own) - shingle + 1) if len(own) else 0
-    grams = np.zeros(n, np.uint64)
-    for k in range(min(shingle, len(own))):
-        grams = grams * _FACTOR + own[k : k + n]
-    return _bits(np.unique(own), WORD_BITS).view(np.uint32).astype(np.int64), _bits(np.unique(grams), SHINGLE_BITS).view(np.int64)

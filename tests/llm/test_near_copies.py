@@ -3,7 +3,6 @@ import random
 import pytest
 
 from gossamer.llm import simhash as S
-from tests.llm import test_pipeline
 from tests.llm.test_simhash import brute_similar, changed
 
 
@@ -46,8 +45,3 @@ def test_groups_equal_exact_similarity(docs):
                 words = [f"w{int(r.paretovariate(0.4)) % 5000}" for _ in range(n)]
                 texts += [" ".join(words), changed(words, share, r)]
     same_groups(docs, texts + ["", None, " ", "one", "One", "a b c d e", "a b c d e f"])
-
-
-def test_pipeline_keeps_what_exact_similarity_keeps(spark, sf, monkeypatch):
-    monkeypatch.setattr(test_pipeline, "brute_wide", brute_similar)
-    test_pipeline.test_rows_match_brute_force(spark, sf)

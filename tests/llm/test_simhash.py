@@ -105,15 +105,65 @@ def test_similar_groups(docs, crowd):
     assert got[73] == 72 and got[76] == 74 and got[75] == 75
 
 
-def brute_wide(texts):
-    """Groups by the rule of the wide fingerprints, over all pairs."""
-    prints = [S.wide_fingerprint((t or "").encode()) for t in texts]
-    bits = lambda x, y: sum((int(a) ^ int(b)).bit_count() for a, b in zip(x.view(np.uint64), y.view(np.uint64)))
-    root = list(range(len(texts)))
-    for i, (w, s) in enumerate(prints):
-        for j in range(i):
-            v, u = prints[j]
-            if bits(w, v) <= S.WORD_APART and bits(s, u) <= S.SHINGLE_APART and any((int(a) ^ int(b)).bit_count() <= 1 for a, b in zip(w, v)):
-                a, b = root[i], root[j]
-                root = [min(a, b) if r in (a, b) else r for r in root]
-    return root
+@pytest.mark.parametrize("module_call", [lambda d: S.similar_groups(d), lambda d: S.near_duplicate_groups(d).select("doc_id", "component_id")])
+def test_ids_of_any_type_and_clashing_columns(docs, module_call):
+    text = "a text of more than five words that is here twice"
+    d = docs([text, None, text, ""], [4, 3, 2, 1]).selectExpr("concat('id', doc_id) AS doc_id", "text", "1 AS node", "2 AS component_id", "3 AS fingerprint", "4 AS root")
+    assert sorted(r[:] for r in module_call(d).collect()) == [("id1", "id1"), ("id2", "id2"), ("id3", "id1"), ("id4", "id2")]
+
+
+def exact_groups(texts):
+    """Groups of similarity 0.8 over five-word shingles, from shared shingles of all pairs."""
+    sets, copies = {}, {}
+    for i, t in texts:
+        w = (t or "").encode().lower().split()
+        s = frozenset(b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+        copies.setdefault(s, []).append(i)
+        sets[copies[s][0]] = s
+    met, root, pairs = {}, {i: i for i in sets}, 0
+    for i, s in sets.items():
+        for g in s:
+            met.setdefault(g, []).append(i)
+    for i, s in sets.items():
+        shared = {}
+        for g in s:
+            for j in met[g]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if 5 * n >= 4 * (len(s) + len(sets[j]) - n):
+                pairs += 1
+                a, b = sorted((root[i], root[j]))
+                if a != b:
+                    root = {k: a if r == b else r for k, r in root.items()}
+    least = {}
+    for members in copies.values():
+        r = root[members[0]]
+        least[r] = min([least.get(r, members[0]), *members])
+    return {i: least[root[m[0]]] for m in copies.values() for i in m}, pairs
+
+
+def test_recall_on_documents(spark):
+    """All pairs of sf0.1 with a similarity of 0.8 or more: none is lost, none is added."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    want, pairs = exact_groups([r[:] for r in d.orderBy("doc_id").collect()])
+    got = {r.doc_id: r.component_id for r in S.similar_groups(d).collect()}
+    assert pairs > 40 and got == want  # pairs of distinct texts
+
+
+def test_hot_empty_texts(docs):
+    """A third of all rows share the fingerprint of no words."""
+    texts = [("" if k % 3 else None) if k % 2 else f"word{k} and {k} others {k * k}" for k in range(600)]
+    out = {r.doc_id: r.component_id for r in S.near_duplicate_groups(docs(texts)).collect()}
+    assert {out[k] for k in range(1, 600, 2)} == {1} and len(out) == 600
+
+
+def test_query_on_documents_against_brute_force(spark, sf):
+    """op2 over every document of sf0.001."""
+    from gossamer.llm import queries as Q
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    prints = [brute_fp(r.text) for r in rows]
+    root = brute_groups(prints)
+    want = {r.doc_id: (f"{fp:016x}", rows[k].doc_id) for r, fp, k in zip(rows, prints, root)}
+    assert {r.doc_id: r[1:] for r in Q.op2_simhash(spark, sf).collect()} == want
