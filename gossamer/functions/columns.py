@@ -20,9 +20,9 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(netloc(url), r"^.*@", ""), r":\d*$", ""))
 
 
-def is_ip(h: Column) -> Column:
-    """Four decimal parts of 0 to 255; a port is not part of the address."""
-    parts = F.split(F.regexp_replace(h, r":\d+$", ""), r"\.")
+def is_ip(h: Column, port: bool = True) -> Column:
+    """Four decimal parts of 0 to 255; with ``port`` a port at the end is not part of the address."""
+    parts = F.split(F.regexp_replace(h, r":\d+$", "") if port else h, r"\.")
     return (F.size(parts) == 4) & F.forall(parts, lambda p: p.rlike(r"^0*(\d|[1-9]\d|1\d\d|2[0-4]\d|25[0-5])$"))
 
 
@@ -31,9 +31,10 @@ def suffix(h: Column) -> Column:
     return F.when(is_ip(h), "").when(last2.isin(X.LONG_SUFFIXES), last2).otherwise(F.when(F.instr(h, ".") > 0, F.substring_index(h, ".", -1)).otherwise(""))
 
 
-def url_parts(url: Column) -> dict[str, Column]:
+def url_parts(url: Column, suffix_: Column | None = None) -> dict[str, Column]:
+    """The parts of a URL by name; ``suffix_`` is its host's public suffix, if a table of rules has told it."""
     h = host(url)
-    s = suffix(h)
+    s = suffix(h) if suffix_ is None else suffix_
     front = F.when(s == "", h).otherwise(F.left(h, F.length(h) - F.length(s) - 1))
     domain = F.when(is_ip(h), h).otherwise(F.substring_index(front, ".", -1))
     sub = F.when(is_ip(h) | (F.length(front) == F.length(domain)), "").otherwise(F.left(front, F.length(front) - F.length(domain) - 1))
@@ -162,3 +163,29 @@ def bin_of(value: Column, low: float, high: float, bins: int) -> Column:
     """1-based bin of equal width; the last one is closed, outside is null."""
     k = F.floor((value - low) / ((high - low) / bins)).cast("int") + 1
     return F.when((value >= low) & (value < high), k).when(value == high, bins)
+
+
+def server(headers: Column) -> Column:
+    """The server header, whatever its case."""
+    return F.get(F.map_values(F.map_filter(headers, lambda k, _: F.lower(k) == "server")), F.lit(0))
+
+
+def joined(items: Column) -> Column:
+    return F.concat_ws("|", items)
+
+
+def layer_height(type_: Column, node: Column) -> Column:
+    """Height in the layered layout: category, type, and up to 0.12 to either side by the node's hash."""
+    from itertools import chain
+
+    words = {t: X.LAYERS[c] + X.LAYER_OFFSETS[t] for t, c, _ in X.TYPE_WORDS}
+    base = F.coalesce(F.element_at(F.create_map(*map(F.lit, chain.from_iterable(words.items()))), type_), F.lit(3.5))
+    share = F.conv(F.substring(F.md5(node), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+    return base + (share * 2 - 1) * 0.12
+
+
+def one_hot(type_: Column) -> Column:
+    """Eight zeros and ones by the node's type; types that are not embedded count as unknown."""
+    known = F.array(*map(F.lit, X.EMBEDDED_TYPES))
+    shown = F.when(F.array_contains(known, type_), type_).otherwise("unknown")
+    return F.transform(known, lambda t: (t == shown).cast("double"))

@@ -19,12 +19,26 @@ ICON_BYTES = 16
 SECURITY_HEADERS = ["strict-transport-security", "content-security-policy", "x-frame-options", "x-content-type-options"]
 SUBDOMAIN_WORDS = ["admin", "panel", "login", "secure", "verify", "account", "update", "confirm", "api", "cpanel", "webmail", "mail", "staging", "test", "dev", "portal", "auth", "sso"]
 
-# Autonomous systems by tier, with the tier's risk.
+# Autonomous systems by tier, with the tier's risk and each system's label.
 ASN_TIERS = {
-    ("bulletproof", 3): [213702, 198953, 401116, 401120, 200593, 214943, 61432, 210950, 211736, 210848, 212283, 204428, 44559, 216246, 57523, 207566, 44477, 209847, 211252, 401115],
-    ("threat_actor_linked", 2): [62212, 42474, 56694, 209588, 209132, 51381, 60424, 56873, 39770, 200373],
-    ("anonymization", 1): [212238, 60068, 211612, 206092, 9009, 16247, 42973, 33837, 201814, 202425, 17561, 132817, 64267, 131642],
-}
+    ("bulletproof", 3): {
+        213702: "Qwins Ltd", 198953: "Proton66 OOO", 401116: "NYBULA", 401120: "CHEAPY-HOST", 200593: "PROSPERO OOO", 214943: "Railnet LLC", 61432: "VAIZ-AS (Ukraine)",
+        210950: "E-RISHENNYA-ASN (Ukraine)", 211736: "FDN3 (Ukraine)", 210848: "TK-NET (Seychelles)", 212283: "ROZA-AS (Bulgaria)", 204428: "SS-Net (Bulgaria)",
+        44559: "MIRhosting (Stark Industries)", 216246: "Aeza Group Ltd", 57523: "Chang Way Technologies Co. Limited", 207566: "Chang Way Technologies Co. Limited",
+        44477: "Stark Industries Solutions Ltd (PQ Hosting) — EU-sanctioned May 2025", 209847: "WorkTitans B.V. — Stark Industries rebrand post-sanctions",
+        211252: "Delis LLC (CrazyRDP)", 401115: "EKABI (CrazyRDP downstream)",
+    },
+    ("threat_actor_linked", 2): {
+        62212: "SmartApe OU — linked to FIN7", 42474: "SmartApe OU (Estonia)", 56694: "LLC Smart Ape (Russia)", 209588: "Flyservers S.A. — linked to ShadowSyndicate",
+        209132: "Alviva Holding Limited — ransomware infrastructure", 51381: "1337TEAM LIMITED (ELITETEAM, Seychelles)", 60424: "1337TEAM LIMITED (ELITETEAM)",
+        56873: "1337TEAM LIMITED (ELITETEAM)", 39770: "1337TEAM LIMITED (ELITETEAM)", 200373: "Drei-K-Tech-GmbH — DDoS proxy source",
+    },
+    ("anonymization", 1): {
+        212238: "Datacamp Limited", 60068: "Datacamp Limited", 211612: "Datacamp Limited", 206092: "Datacamp Limited", 9009: "M247 Europe SRL", 16247: "M247 Ltd", 42973: "M247 Ltd",
+        33837: "Fredrik Holmqvist (Tor exit node)", 201814: "MEVSPACE sp. z o.o. (CroxyProxy)", 202425: "IP Volume inc (Speedify VPN)", 17561: "Plainproxies (3xK Tech)",
+        132817: "Webshare Proxy", 64267: "Rayobyte Proxy", 131642: "Rapidseedbox Proxy",
+    },
+}
 
 # Pairs of types that may be linked: relation, and its words.
 LINK_TYPES = [
@@ -59,3 +73,20 @@ TYPE_WORDS = [
 NODE_BUDGET, TRIM = 50, [("co_host", 3), ("cert_peer", 5), ("subdomain", 8)]
 CO_HOSTS = 15
 TIMES = [0.5, 1.0, 2.0, 5.0, 10.0]
+
+#: Campaigns: nodes at which expansion stops, levels, leaves a level.
+CAMPAIGN_NODES, CAMPAIGN_DEPTH, CAMPAIGN_LEAVES = 80, 2, 5
+HOPS, SHARED_LINES, ERROR_CHARS = 8, 2000, 200
+#: Graphs of a comparison of all pairs.
+COMPARED = 20
+NULL_JARM = "0" * 62
+
+# Height of a category's layer, and of each type in it.
+LAYERS = {"ownership": 0.0, "network": 3.5, "fingerprint": 7.0}
+LAYER_OFFSETS = {"domain": -0.3, "registrar": 0.3, "subdomain": 0.0, "ip": -0.4, "asn": 0.0, "geo": 0.4, "co_host": 0.8, "cert_peer": -0.3, "favicon": 0.0, "jarm": 0.3}
+
+# Relations in plain words.
+RELATION_WORDS = {
+    "resolves-to": "points to", "registered-by": "registered by", "shares-cert": "shares certificate", "hosted-in": "hosted on", "located-in": "located in",
+    "also-hosts": "shares server with", "uses-favicon": "shares page icon", "has-subdomain": "sub-page of", "server-fingerprint": "shares server fingerprint",
+}

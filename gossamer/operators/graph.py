@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gossamer.functions import columns as C
 from gossamer.functions import fixed as X
+from gossamer.sources.scratch import shared_dir, written
 
 #: Signals in the order in which they add to a graph; later ones win.
 ORDER = ["dns", "whois", "cert", "icon", "subdomain", "jarm", "asn", "geo", "shared"]
@@ -24,13 +25,16 @@ SHAPE = {
 }
 
 
-def assemble(signals: dict[str, DataFrame], protect_root: bool = True) -> tuple[DataFrame, DataFrame]:
+def assemble(signals: dict[str, DataFrame], protect_root: bool = True, roots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Graphs from signal tables, all of them at once.
 
     Each signal has graph_id, the two columns of its shape, and optionally weight (1.0 if not). A node's
-    type is that of the last signal that has it; with ``protect_root`` a domain stays a domain.
+    type is that of the last signal that has it; with ``protect_root`` a domain stays a domain. ``roots`` (graph_id,
+    node) are there even if no signal has them.
     """
     parts, kinds = [], []
+    if roots is not None:
+        kinds.append(roots.select("graph_id", "node", F.lit("domain").alias("type"), F.lit(-1).alias("step")))
     for k, name in enumerate(n for n in ORDER if n in signals):
         a, b, ta, tb, relation = SHAPE[name]
         df = signals[name]
@@ -111,8 +115,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     now = idx.select("graph_id", F.col("node_idx").alias("i"), F.col("node_idx").alias("c"))
     spark = nodes.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        local = spark.sparkContext.master.startswith("local")
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/gossamer" if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     while True:
         seen = pairs.join(now.select("graph_id", F.col("i").alias("j"), F.col("c").alias("d")), ["graph_id", "j"]).groupBy("graph_id", "i").agg(F.min("d").alias("d"))
         step = now.join(seen, ["graph_id", "i"], "left").select("graph_id", "i", F.col("c").alias("old"), F.least("c", "d").alias("c"))
@@ -124,6 +127,20 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return idx.join(now.withColumnRenamed("i", "node_idx"), ["graph_id", "node_idx"]).select("graph_id", "node", F.col("c").alias("component"))
 
 
+def first_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of rows with the same keys the first by ``order``; aggregated, so no key's rows come together."""
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_b"))
+    return best.select(*(F.col(f"_b.{c}").alias(c) for c in rows.columns))
+
+
+def neighbour_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, node, mean, max): over the one-hot types of a node's neighbours."""
+    kinds = nodes.select("graph_id", F.col("node").alias("other"), C.one_hot(F.col("type")).alias("x"))
+    met = both_ways(edges).join(kinds, ["graph_id", "other"])
+    at = [F.get("x", F.lit(k)) for k in range(len(X.EMBEDDED_TYPES))]
+    return met.groupBy("graph_id", "node").agg(F.array(*map(F.avg, at)).alias("mean"), F.array(*map(F.max, at)).alias("max"))
+
+
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return components(nodes, edges).groupBy("graph_id").agg((F.count_distinct("component") == 1).alias("is_connected"))
 
@@ -141,25 +158,59 @@ def composed(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFram
     return n, e.select("graph_id", "src", "dst", "edge_idx", "relation", "weight")
 
 
-def expanded(seeds: DataFrame, leads: DataFrame, depth: int = 2, per_level: int = 5) -> DataFrame:
-    """Breadth-first expansion: (seed, depth, domain) reached over ``leads`` (domain, leaf, ord).
+def expandable_leaves(nodes: DataFrame, done: DataFrame) -> DataFrame:
+    """(graph_id, leaf, ord): certificate peers, then suspicious co-hosts, each in the graph's order, without those in
+    ``done`` (graph_id, leaf)."""
+    host = F.concat(F.lit("https://"), "node")
+    parts = C.url_parts(host)
+    odd = F.size(C.signals(parts["domain"], parts["suffix"])) > 0
+    leaves = nodes.where((F.col("type") == "cert_peer") | (F.col("type") == "co_host") & odd)
+    order = F.struct((F.col("type") == "co_host").alias("second"), F.col("node_idx").alias("idx"))
+    return leaves.select("graph_id", F.col("node").alias("leaf"), order.alias("ord")).join(done, ["graph_id", "leaf"], "left_anti")
+
+
+def expanded(
+    seeds: DataFrame, egos: DataFrame, depth: int = X.CAMPAIGN_DEPTH, per_level: int = X.CAMPAIGN_LEAVES, budget: int = X.CAMPAIGN_NODES
+) -> tuple[DataFrame, DataFrame]:
+    """Campaigns from ego-graphs, all seeds at once: (members, log).
 
-    A level takes at most ``per_level`` leaves of a seed by order; a domain is expanded once.
+    ``seeds`` has (seed); ``egos`` the nodes (graph_id, node, node_idx, type) of each domain's own graph. A level takes
+    the first ``per_level`` of its frontier, skips what has been expanded, and stops at the leaf before which the campaign has
+    ``budget`` nodes. ``members`` is (seed, domain): the graphs that make up the campaign; ``log`` has (seed, depth, pos,
+    domain, status, nodes_added).
     """
-    found = seeds.select("seed", F.lit(0).alias("depth"), F.col("seed").alias("domain"))
-    level = found
+    members = seeds.select("seed", F.col("seed").alias("domain"), F.lit(0).alias("depth"), F.lit(0).alias("pos"))
+    log = None
+    size = egos.groupBy(F.col("graph_id").alias("domain")).agg(F.count("*").alias("nodes_added"))
+    own = egos.select(F.col("graph_id").alias("domain"), "node")
     for d in range(1, depth + 1):
-        fresh = level.select("seed", "domain").join(leads, "domain").select("seed", F.col("leaf").alias("domain"), "ord")
-        fresh = fresh.groupBy("seed", "domain").agg(F.min("ord").alias("ord")).join(found.select("seed", "domain"), ["seed", "domain"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("seed").orderBy("ord", "domain"))
-        level = fresh.withColumn("_k", rank).where(F.col("_k") <= per_level).select("seed", F.lit(d).alias("depth"), "domain")
-        found = found.unionByName(level)
-    return found
+        members = written(members, "campaign-members")
+        last = members.where(F.col("depth") == d - 1)
+        found = last.join(egos.withColumnRenamed("graph_id", "domain"), "domain").select(F.concat_ws("\x00", "seed", F.col("pos")).alias("graph_id"), "node", "node_idx", "type", "seed", "pos")
+        # A leaf is out if it was expanded before or together with the graph that it was found in.
+        done = found.select("graph_id", "seed", "pos").distinct().join(members.select("seed", "domain", "depth", F.col("pos").alias("at")), "seed").where((F.col("depth") < d - 1) | (F.col("at") <= F.col("pos")))
+        leaves = expandable_leaves(found, done.select("graph_id", F.col("domain").alias("leaf")))
+        leaves = leaves.withColumn("seed", F.split("graph_id", "\x00")[0]).withColumn("ord", F.struct(F.split("graph_id", "\x00")[1].cast("int").alias("pos"), "ord"))
+        leaves = leaves.groupBy("seed", F.col("leaf").alias("domain")).agg(F.min("ord").alias("ord"))
+        pos = F.row_number().over(Window.partitionBy("seed").orderBy("ord"))
+        frontier = leaves.withColumn("pos", pos).where(F.col("pos") <= per_level).join(members.select("seed", "domain"), ["seed", "domain"], "left_anti").select("seed", "domain", "pos")
+        # The node count before each leaf: nodes count where they are first met.
+        met = members.select("seed", "domain", F.lit(0).alias("pos")).unionByName(frontier).join(own, "domain").groupBy("seed", "node").agg(F.min("pos").alias("pos"))
+        fresh = met.groupBy("seed", "pos").agg(F.count("*").alias("fresh"))
+        sized = members.select("seed").distinct().withColumn("pos", F.lit(0)).unionByName(frontier.select("seed", "pos")).join(fresh, ["seed", "pos"], "left")
+        before = F.sum(F.coalesce("fresh", F.lit(0))).over(Window.partitionBy("seed").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+        taken = sized.withColumn("before", before).where((F.col("pos") > 0) & (F.col("before") < budget)).select("seed", "pos")
+        level = frontier.join(taken, ["seed", "pos"]).join(size, "domain", "left")
+        rows = level.select("seed", F.lit(d).alias("depth"), "pos", "domain", F.when(F.col("nodes_added") > 0, "expanded").otherwise("empty").alias("status"), "nodes_added")
+        rows = written(rows, "campaign-log")
+        log = rows if log is None else log.unionByName(rows)
+        members = members.unionByName(rows.select("seed", "domain", "depth", "pos"))
+    return members.select("seed", "domain"), log
 
 
 def asn_reputation(asns: DataFrame) -> DataFrame:
-    """``asns`` (asn) with tier, risk_score and is_flagged; the tiers are a table of 44 rows."""
-    rows = [(f"AS{n}", tier, risk) for (tier, risk), ns in X.ASN_TIERS.items() for n in ns]
-    tiers = asns.sparkSession.createDataFrame(rows, "_key string, tier string, risk_score int")
+    """``asns`` (asn) with tier, label, risk_score and is_flagged; the tiers are a table of 44 rows."""
+    rows = [(f"AS{n}", tier, label, risk) for (tier, risk), known in X.ASN_TIERS.items() for n, label in known.items()]
+    tiers = asns.sparkSession.createDataFrame(rows, "_key string, tier string, label string, risk_score int")
     out = asns.withColumn("_key", C.asn_key(F.col("asn"))).join(F.broadcast(tiers), "_key", "left")
-    return out.select(*asns.columns, F.coalesce("tier", F.lit("unknown")).alias("tier"), F.coalesce("risk_score", F.lit(0)).alias("risk_score"), F.col("tier").isNotNull().alias("is_flagged"))
+    return out.select(*asns.columns, F.coalesce("tier", F.lit("unknown")).alias("tier"), "label", F.coalesce("risk_score", F.lit(0)).alias("risk_score"), F.col("tier").isNotNull().alias("is_flagged"))

@@ -9,6 +9,10 @@ from gossamer.functions import fixed as X
 from gossamer.operators.graph import both_ways, degrees
 
 
+#: Links of a node beyond which its wedges are not made.
+HUB = 256
+
+
 def link_types(spark) -> DataFrame:
     return spark.createDataFrame(X.LINK_TYPES, "type_a string, type_b string, relation string, template string")
 
@@ -28,17 +32,23 @@ def candidates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("graph_id", "i", "j", "node_a", "node_b", "type_a", "type_b", "relation")
 
 
-def adamic_adar(nodes: DataFrame, edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def adamic_adar(nodes: DataFrame, edges: DataFrame, pairs: DataFrame | None = None, hub: int = HUB) -> DataFrame:
     """Candidates with the score: sum over common neighbours of 1 / ln(degree).
 
-    Common neighbours come from wedges on the middle node, so only pairs that share one are made.
+    Common neighbours come from wedges on the middle node, so only pairs that share one are made. A node of more than
+    ``hub`` links would make wedges by the square of them: there the candidates themselves are joined to its
+    neighbours, twice, which is linear in both.
     """
     pairs = candidates(nodes, edges) if pairs is None else pairs
     way = both_ways(edges).select("graph_id", F.col("node").alias("mid"), "other")
-    weight = degrees(edges).select("graph_id", F.col("node").alias("mid"), (1 / F.greatest(F.log("degree"), F.lit(1e-10))).alias("w"))
+    weight = degrees(edges).select("graph_id", F.col("node").alias("mid"), "degree", (1 / F.greatest(F.log("degree"), F.lit(1e-10))).alias("w"))
     left = way.join(weight, ["graph_id", "mid"]).withColumnRenamed("other", "node_a")
-    wedge = left.join(way.withColumnRenamed("other", "node_b"), ["graph_id", "mid"]).where("node_a <> node_b")
-    score = wedge.groupBy("graph_id", "node_a", "node_b").agg(F.sum("w").alias("score"))
+    few, many = left.where(F.col("degree") <= hub).drop("degree"), left.where(F.col("degree") > hub).drop("degree")
+    wedge = few.join(way.withColumnRenamed("other", "node_b"), ["graph_id", "mid"]).where("node_a <> node_b")
+    far = many.select("graph_id", "mid", F.col("node_a").alias("node_b"))
+    at_hubs = pairs.select("graph_id", "node_a", "node_b").join(many, ["graph_id", "node_a"]).join(far, ["graph_id", "mid", "node_b"])
+    each = wedge.select("graph_id", "node_a", "node_b", "w").unionByName(at_hubs.select("graph_id", "node_a", "node_b", "w"))
+    score = each.groupBy("graph_id", "node_a", "node_b").agg(F.sum("w").alias("score"))
     return pairs.join(score, ["graph_id", "node_a", "node_b"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from gossamer.functions import fixed as X
 
 
+#: Nodes of the largest graph that the dense operators take: some hundred megabytes a matrix.
+MAX_NODES = 5000
+
+
 def adjacency(nodes: pd.DataFrame, edges: pd.DataFrame, weighted: bool = True) -> tuple[list[str], np.ndarray]:
     nodes = nodes.sort_values("node_idx")
     order = nodes["node"].tolist()
@@ -105,41 +109,37 @@ def signature(nodes: pd.DataFrame, edges: pd.DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def hide(nodes: pd.DataFrame, edges: pd.DataFrame, fraction: float = 0.2, seed: int = 0) -> list[int]:
-    """Positions of links to hide: a random order, each taken only if what is left stays connected."""
+def hide(nodes: pd.DataFrame, edges: pd.DataFrame, fraction: float = 0.2, seed: int = 0, clamp: bool = True) -> list[int]:
+    """Positions of links to hide: a random order, each taken only if what is left stays connected.
+
+    With ``clamp`` a sparse graph hides no more than its links beyond its nodes.
+    """
     edges = edges.sort_values("edge_idx")
     names = nodes["node"].tolist()
     n_nodes, n_edges = len(names), len(edges)
     if not n_edges:
         return []
     count = max(1, int(n_edges * fraction))
-    if count >= n_edges - (n_nodes - 1):
+    if clamp and count >= n_edges - (n_nodes - 1):
         count = max(1, n_edges - n_nodes)
     at = {n: k for k, n in enumerate(names)}
     pairs = [(at[s], at[d]) for s, d in zip(edges["src"], edges["dst"])]
-    hidden: list[int] = []
-
-    def whole(without: set[int]) -> bool:
-        root = list(range(n_nodes))
+    order = np.random.default_rng(seed).permutation(n_edges).tolist()
+    # An edge has to stay if it is in the spanning tree that prefers edges late in the order.
+    root, left, tree = list(range(n_nodes)), n_nodes, set()
 
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
-        left = n_nodes
-        for k, (s, d) in enumerate(pairs):
-            if k not in without and (s := find(s)) != (d := find(d)):
-                root[s], left = d, left - 1
-        return left == 1
-
-    for k in np.random.default_rng(seed).permutation(n_edges):
-        if len(hidden) >= count:
-            break
-        if whole({*hidden, int(k)}):
-            hidden.append(int(k))
-    return hidden
+    for k in reversed(order):
+        s, d = find(pairs[k][0]), find(pairs[k][1])
+        if s != d:
+            root[s], left = d, left - 1
+            tree.add(k)
+    return [k for k in order if k not in tree][:count] if left == 1 else []
 
 
 def _per_graph(nodes: DataFrame, edges: DataFrame, make, schema: str) -> DataFrame:
@@ -147,6 +147,8 @@ def _per_graph(nodes: DataFrame, edges: DataFrame, make, schema: str) -> DataFra
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        if len(n) > MAX_NODES:
+            raise ValueError(f"graph {key[0]} has {len(n)} nodes; dense operators take {MAX_NODES}")
         return pd.DataFrame(make(key[0], n, e) if len(n) else [], columns=names)
 
     nodes, edges = nodes.toDF(*nodes.columns), edges.toDF(*edges.columns)  # columns of their own, even of one origin
@@ -224,19 +226,81 @@ def signatures(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _per_graph(nodes, edges, lambda g, n, e: [(g, len(n), signature(n, e).tolist())], f"{_key(nodes)}, n_nodes int, signature array<double>")
 
 
-def walk_scores(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, times=tuple(X.TIMES)) -> DataFrame:
-    """``pairs`` with the score: the walk's probability between the two nodes, averaged over times."""
+def linked(nodes: pd.DataFrame, edges: pd.DataFrame) -> np.ndarray:
+    """Who is linked, links of weight zero included."""
+    at = {n: k for k, n in enumerate(nodes.sort_values("node_idx")["node"])}
+    out = np.zeros((len(at), len(at)), bool)
+    for s, d in zip(edges["src"], edges["dst"]):
+        out[at[s], at[d]] = out[at[d], at[s]] = True
+    return out
+
+
+_RELATION = {(a, b): k for k, (x, y, _, _) in enumerate(X.LINK_TYPES) for a, b in ((x, y), (y, x))}
+_TYPES = sorted({t for pair in _RELATION for t in pair})
+_LINKABLE = np.array([[_RELATION.get((a, b), -1) for b in [*_TYPES, None]] for a in [*_TYPES, None]])
+
+
+def open_pairs(types: list[str], link: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, relation) of unlinked pairs i < j of linkable types, in that order."""
+    code = np.array([_TYPES.index(t) if t in _TYPES else len(_TYPES) for t in types])
+    relation = _LINKABLE[np.ix_(code, code)]
+    i, j = np.nonzero(np.triu((relation >= 0) & ~link, 1))
+    return i, j, relation[i, j]
+
+
+def walk_matrix(a: np.ndarray, times=tuple(X.TIMES)) -> np.ndarray:
+    """The walk's probability between any two nodes, averaged over times."""
+    values, vectors = np.linalg.eigh(hamiltonian(a))
+    out = np.zeros_like(a)
+    for t in times:
+        out += ((vectors * np.cos(values * t)) @ vectors.T) ** 2 + ((vectors * np.sin(values * t)) @ vectors.T) ** 2
+    return out / len(times)
+
+
+def common_matrix(link: np.ndarray) -> np.ndarray:
+    """Adamic-Adar scores of all pairs."""
+    return (link / np.maximum(np.log(np.maximum(1, link.sum(axis=0))), 1e-10)) @ link
+
+
+def ordered(score: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.lexsort((j, i, -np.round(score, 12)))
+
+
+_SCORED = "i int, j int, node_a string, node_b string, type_a string, type_b string, relation string, score double"
+
+
+def _scored_pairs(n: pd.DataFrame, e: pd.DataFrame, matrix) -> pd.DataFrame:
+    n = n.sort_values("node_idx")
+    names, types, idx = n["node"].to_numpy(), n["type"].to_numpy(), n["node_idx"].to_numpy()
+    i, j, relation = open_pairs(types.tolist(), linked(n, e))
+    score = matrix(n, e)[i, j]
+    words = np.array([x[2] for x in X.LINK_TYPES], object)
+    return pd.DataFrame({"i": idx[i], "j": idx[j], "node_a": names[i], "node_b": names[j], "type_a": types[i], "type_b": types[j], "relation": words[relation], "score": score})
+
+
+def walk_scores(nodes: DataFrame, edges: DataFrame, times=tuple(X.TIMES)) -> DataFrame:
+    """Every candidate (unlinked, of linkable types) with the walk's probability between its nodes, averaged over times."""
+    return _per_graph(nodes, edges, lambda g, n, e: _scored_pairs(n, e, lambda n, e: walk_matrix(adjacency(n, e)[1], times)).assign(graph_id=g), f"{_key(nodes)}, {_SCORED}")
+
+
+def top_walk_links(nodes: DataFrame, edges: DataFrame, k: int = 10, times=tuple(X.TIMES)) -> DataFrame:
+    """The ``k`` likeliest candidates of each graph with rank and confidence; only these leave the graph's task.
+
+    The bands are percentiles over all of a graph's candidates. Same rows as ``links.top_links`` over ``walk_scores``.
+    """
 
     def make(g, n, e):
-        order, a = adjacency(n, e)
-        values, vectors = np.linalg.eigh(hamiltonian(a))
-        p = sum(np.abs(walk(values, vectors, t)) ** 2 for t in times) / len(times)
-        i, j = np.nonzero(np.triu(~(a != 0), 1))
-        at = np.array(order, dtype=object)
-        idx = np.sort(n["node_idx"].to_numpy())
-        return {"graph_id": [g] * len(i), "i": idx[i], "j": idx[j], "score": p[i, j]} if len(at) else []
+        all_ = _scored_pairs(n, e, lambda n, e: walk_matrix(adjacency(n, e)[1], times))
+        s = np.round(all_["score"].to_numpy(), 12)
+        if not len(s):
+            return []
+        high = np.percentile(s, 75) if len(s) > 3 else s.max()
+        middle = np.percentile(s, 50) if len(s) > 1 else 0.0
+        best = ordered(s, all_["i"].to_numpy(), all_["j"].to_numpy())[:k]
+        top = all_.iloc[best]
+        return top.assign(graph_id=g, rank=np.arange(1, len(best) + 1), confidence=np.where(s[best] >= high, "high", np.where(s[best] >= middle, "medium", "low")))
 
-    return pairs.join(_per_graph(nodes, edges, make, f"{_key(nodes)}, i int, j int, score double"), ["graph_id", "i", "j"])
+    return _per_graph(nodes, edges, make, f"{_key(nodes)}, rank int, {_SCORED}, confidence string")
 
 
 def random_scores(pairs: DataFrame, seed: int = 0) -> DataFrame:
@@ -251,16 +315,87 @@ def random_scores(pairs: DataFrame, seed: int = 0) -> DataFrame:
     return pairs.groupBy("graph_id").applyInPandas(run, T.StructType([*pairs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
-def hidden_links(nodes: DataFrame, edges: DataFrame, fraction: float = 0.2, seed: int = 0) -> DataFrame:
+def hidden_links(nodes: DataFrame, edges: DataFrame, fraction: float = 0.2, seed: int = 0, clamp: bool = True) -> DataFrame:
     def make(g, n, e):
         e = e.sort_values("edge_idx")
-        return [(g, k, e["src"].iloc[p], e["dst"].iloc[p]) for k, p in enumerate(hide(n, e, fraction, seed))]
+        return [(g, k, e["src"].iloc[p], e["dst"].iloc[p]) for k, p in enumerate(hide(n, e, fraction, seed, clamp))]
 
     return _per_graph(nodes, edges, make, f"{_key(nodes)}, ord int, src string, dst string")
 
 
-def missing_nodes(signed: DataFrame, max_size: int = 6) -> DataFrame:
-    """Best of the archetypes (15 rows) for each signature, and what it says is missing."""
+HITS = (1, 3, 5, 10)
+
+
+def recoveries(nodes: DataFrame, edges: DataFrame, seeds=(0,), fraction: float = 0.2, times=tuple(X.TIMES)) -> DataFrame:
+    """Hide and recover: the metrics of the walk, of common neighbours and of chance, by graph and seed.
+
+    Each graph and seed is one task's work: what is hidden, the three scores and the ranks never leave it.
+    """
+
+    def make(g, n, e):
+        n, e = n.sort_values("node_idx"), e.sort_values("edge_idx").reset_index(drop=True)
+        types, rows = n["type"].tolist(), []
+        _, weights = adjacency(n, e)
+        link = linked(n, e)
+        at = {name: k for k, name in enumerate(n["node"])}
+        ends = [tuple(sorted((at[s], at[d]))) for s, d in zip(e["src"], e["dst"])]
+        for seed in seeds:
+            hidden = [ends[k] for k in hide(n, e, fraction, seed)]
+            if not hidden:
+                continue
+            a, left = weights.copy(), link.copy()
+            x, y = np.array(hidden).T
+            a[x, y] = a[y, x] = 0
+            left[x, y] = left[y, x] = False
+            i, j, _ = open_pairs(types, left)
+            was = link[i, j]
+            for method, score in (("walk", walk_matrix(a, times)[i, j]), ("common", common_matrix(left)[i, j]), ("random", np.random.default_rng(seed).random(len(i)))):
+                ranks = np.flatnonzero(was[ordered(score, i, j)]) + 1
+                inverse = float((1 / ranks).sum())
+                rows.append((g, seed, method, len(hidden), len(ranks), len(i), inverse / len(ranks) if len(ranks) else 0.0, inverse / len(hidden), float(ranks.mean()) if len(ranks) else None, *(float((ranks <= k).sum() / len(hidden)) for k in HITS)))
+        return rows
+
+    return _per_graph(nodes, edges, make, f"{_key(nodes)}, seed int, method string, n_hidden long, n_found long, n_candidates long, mrr double, mrr_all double, mean_rank double, " + ", ".join(f"hits_{k} double" for k in HITS))
+
+
+def hamiltonian_entries(nodes: DataFrame, edges: DataFrame, variant: str = "adjacency", weighted: bool = True) -> DataFrame:
+    """(graph_id, i, j, h): the entries of each graph's matrix that are not zero."""
+
+    def make(g, n, e):
+        h = hamiltonian(adjacency(n, e, weighted)[1], variant)
+        i, j = np.nonzero(h)
+        return {"graph_id": [g] * len(i), "i": i, "j": j, "h": h[i, j]}
+
+    return _per_graph(nodes, edges, make, f"{_key(nodes)}, i int, j int, h double")
+
+
+def asymmetries(entries: DataFrame, tolerance: float = 1e-10) -> DataFrame:
+    """The entries (graph_id, i, j, h) whose mirror is another value: none of a Hermitian matrix."""
+    back = entries.select("graph_id", F.col("i").alias("j"), F.col("j").alias("i"), F.col("h").alias("_back"))
+    return entries.join(back, ["graph_id", "i", "j"], "left").where(F.abs(F.col("h") - F.coalesce("_back", F.lit(0.0))) > tolerance).drop("_back")
+
+
+def hermitian(entries: DataFrame) -> DataFrame:
+    """``entries``, failing where a matrix is not Hermitian."""
+    bad = asymmetries(entries).groupBy("graph_id").agg(F.count("*").alias("_bad"))
+    checked = F.when(F.col("_bad").isNull(), F.col("h")).otherwise(F.raise_error(F.concat(F.lit("not Hermitian: graph "), F.col("graph_id").cast("string"))).cast("double"))
+    return entries.join(bad, "graph_id", "left").withColumn("h", checked).drop("_bad")
+
+
+def permutation_errors(nodes: DataFrame, edges: DataFrame, tries: int = 5, seed: int = 0) -> DataFrame:
+    """(graph_id, max_error): how far a fingerprint moves when a graph's nodes are put in other orders."""
+
+    def make(g, n, e):
+        a, r = adjacency(n, e)[1], np.random.default_rng(seed)
+        phi = fingerprint(a)
+        orders = (r.permutation(len(a)) for _ in range(tries))
+        return [(g, max(float(np.abs(fingerprint(a[np.ix_(p, p)]) - phi).max()) for p in orders))]
+
+    return _per_graph(nodes, edges, make, f"{_key(nodes)}, max_error double")
+
+
+def _archetypes(signed: DataFrame, max_size: int) -> DataFrame:
+    """Each signature with each of the archetypes (15 rows) and their distance."""
     from gossamer.functions.columns import distance
     from gossamer.sources.fixtures import archetypes
 
@@ -270,8 +405,18 @@ def missing_nodes(signed: DataFrame, max_size: int = 6) -> DataFrame:
     table = signed.sparkSession.createDataFrame(rows, "archetype string, size int, full int, target array<double>")
     each = signed.crossJoin(F.broadcast(table)).withColumn("d", F.round(distance(F.col("signature"), F.col("target"), "euclidean"), 12))
     order = list(dict.fromkeys(r[0] for r in rows))
-    rank = F.array_position(F.array(*map(F.lit, order)), F.col("archetype"))
-    best = each.groupBy("graph_id", "n_nodes").agg(F.min(F.struct("d", rank.alias("r"), "size", "archetype", "full")).alias("b"))
+    return each.withColumn("r", F.array_position(F.array(*map(F.lit, order)), F.col("archetype")))
+
+
+def archetype_matches(signed: DataFrame, k: int = 5, max_size: int = 6) -> DataFrame:
+    """(graph_id, rank, archetype, size, d): the ``k`` nearest archetypes of each signature."""
+    found = _archetypes(signed, max_size).groupBy("graph_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "r", "size", "archetype"))), 1, k).alias("m"))  # 15 a graph
+    return found.select("graph_id", F.posexplode("m").alias("p", "m")).select("graph_id", (F.col("p") + 1).alias("rank"), "m.archetype", "m.size", "m.d")
+
+
+def missing_nodes(signed: DataFrame, max_size: int = 6) -> DataFrame:
+    """Best of the archetypes for each signature, and what it says is missing."""
+    best = _archetypes(signed, max_size).groupBy("graph_id", "n_nodes").agg(F.min(F.struct("d", "r", "size", "archetype", "full")).alias("b"))
     missing = F.greatest(F.lit(0), F.col("b.full") - F.col("n_nodes"))
     return best.select(
         "graph_id", F.when((missing > 0) | (F.col("b.d") < 0.2), F.col("b.archetype")).alias("best_archetype"), F.col("b.full").alias("best_size"), F.col("b.d").alias("match_distance"),
@@ -279,12 +424,20 @@ def missing_nodes(signed: DataFrame, max_size: int = 6) -> DataFrame:
     )
 
 
-def compared(prints: DataFrame, embedded: DataFrame, threshold: float = 0.05) -> DataFrame:
-    """Pairs of graphs (a < b) with both distances and the verdict; each graph's vectors are made once."""
+def compared(prints: DataFrame, embedded: DataFrame, threshold: float = 0.05, pairs: DataFrame | None = None, most: int = X.COMPARED) -> DataFrame:
+    """Pairs of graphs (a < b) with both distances and the verdict; each graph's vectors are made once.
+
+    ``pairs`` (graph_a, graph_b) says which; without it, all pairs of the first ``most`` graphs by name, which bounds
+    what the comparison of everything with everything makes.
+    """
     from gossamer.functions.columns import distance
 
     both = prints.select("graph_id", "phi").join(embedded.select("graph_id", "embedding"), "graph_id")
+    if pairs is None:
+        names = both.select("graph_id").orderBy("graph_id").limit(most)
+        a, b = (names.withColumnRenamed("graph_id", f"graph_{x}") for x in "ab")
+        pairs = a.join(F.broadcast(b), F.col("graph_a") < F.col("graph_b"))
     a, b = both.toDF("graph_a", "phi_a", "emb_a"), both.toDF("graph_b", "phi_b", "emb_b")
-    out = a.join(b, F.col("graph_a") < F.col("graph_b"))
+    out = pairs.select("graph_a", "graph_b").join(a, "graph_a").join(b, "graph_b")
     out = out.select("graph_a", "graph_b", distance(F.col("phi_a"), F.col("phi_b")).alias("walk_distance"), distance(F.col("emb_a"), F.col("emb_b")).alias("embedding_distance"))
     return out.withColumn("blind_spot", (F.col("walk_distance") > threshold) & ~(F.col("embedding_distance") > threshold))

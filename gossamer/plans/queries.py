@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
 from pyspark.sql import functions as F
 
 from gossamer.functions import columns as C
@@ -12,18 +10,22 @@ from gossamer.functions import fixed as X
 from gossamer.operators import graph as G
 from gossamer.operators import links as L
 from gossamer.operators import spectral as S
+from gossamer.plans import sources as P
+from gossamer.plans.registry import ORACLES, QUERIES, query  # noqa: F401
+from gossamer.plans.registry import rounded as _r
+from gossamer.plans.sources import BRANDS as _BRANDS_IN_TEXT
+from gossamer.plans.sources import DESCRIPTION as _DESCRIPTION
+from gossamer.plans.sources import TITLE as _TITLE
+from gossamer.plans.sources import pages
 from gossamer.sources import fixtures, signals
-from gossamer.sources.tables import campaign, campaign_signals, read, stars
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from gossamer.sources.scratch import written
+from gossamer.sources.tables import campaign, mixed_stars, read, stars
 
 # ------------------------------------------------------------------------------------------ SQL parts
 
 CAMPAIGN = """
-met AS (SELECT c_nationkey || '-' || c_mktsegment AS graph_id, 'c' || c_custkey AS domain, l_suppkey, max(l_quantity) AS q
-        FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 JOIN customer ON c_custkey = o_custkey
-        WHERE o_orderpriority = '1-URGENT' GROUP BY ALL),
+met AS (SELECT c_nationkey || '-' || c_mktsegment || '-' || strftime(o_orderdate, '%Y%m') AS graph_id, 'c' || c_custkey AS domain, l_suppkey, max(l_quantity) AS q
+        FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
 dns AS (SELECT graph_id, domain, 's' || l_suppkey AS ip, l_suppkey, least(q * 72, 3600) / 3600 AS weight FROM met),
 ips AS (SELECT DISTINCT graph_id, ip, s_nationkey, n_regionkey FROM dns JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey),
 raw AS (SELECT graph_id, domain AS src, ip AS dst, 'resolves-to' AS relation, weight, 0 AS step FROM dns
@@ -56,8 +58,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY round(sco
 _HOST = "lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''))"
 _LONG = ", ".join(f"'{s}'" for s in X.LONG_SUFFIXES)
 _BAD = ", ".join(f"'{s}'" for s in X.SUSPICIOUS_SUFFIXES)
-URLS = rf"""
-h AS (SELECT page_id, url, html, {_HOST} AS host FROM pages),
+URLS = rf"""{P.PAGES_SQL},
+h AS (SELECT page_id, url, html, {_HOST} AS host FROM pg),
 h2 AS (SELECT *, regexp_matches(host, '^(0*(\d|[1-9]\d|1\d\d|2[0-4]\d|25[0-5])\.){{3}}0*(\d|[1-9]\d|1\d\d|2[0-4]\d|25[0-5])$') AS is_ip, string_split(host, '.') AS labels FROM h),
 h3 AS (SELECT *, CASE WHEN is_ip THEN '' WHEN array_to_string(labels[-2:], '.') IN ({_LONG}) THEN array_to_string(labels[-2:], '.') WHEN len(labels) > 1 THEN labels[-1] ELSE '' END AS suffix FROM h2),
 h4 AS (SELECT *, CASE WHEN suffix = '' THEN host ELSE host[1:length(host) - length(suffix) - 1] END AS front FROM h3),
@@ -66,101 +68,103 @@ parsed AS (SELECT page_id, url, html, lower(regexp_extract(url, '^([A-Za-z][A-Za
              CASE WHEN is_ip OR length(front) = length(domain) THEN '' ELSE front[1:length(front) - length(domain) - 1] END AS subdomain, domain, suffix,
              CASE WHEN suffix = '' OR domain = '' THEN '' ELSE domain || '.' || suffix END AS full_domain,
              regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query, is_ip FROM u)"""
-_TITLE = r"CASE WHEN regexp_matches(html, '<title[^>]*>.*?</title>', 'is') THEN regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'), '^\s+|\s+$', '', 'g')[1:200] END"
 _BRANDS = ", ".join(f"'{b}'" for b in X.BRANDS)
 
 
-def query(name: str, sql: str | None = None):
-    def put(f):
-        QUERIES[f"op_{name}"] = f
-        if sql:
-            ORACLES[f"op_{name}"] = sql
-        return f
-
-    return put
-
-
-def _r(c, digits: int = 6):
-    return F.round(c, digits) + F.lit(0.0)
-
-
 # ---------------------------------------------------------------------------------- URLs, pages, jobs
 
 
 @query("F1_parse_url", f"WITH {URLS} SELECT page_id, scheme, subdomain, domain, suffix, full_domain, path, query, is_ip FROM parsed")
 def _(spark, d):
-    p = read(spark, d, "pages")
-    return p.select("page_id", *(c.alias(n) for n, c in C.url_parts(F.col("url")).items()))
+    p = pages(spark, d).withColumn("_suffix", C.suffix(C.host(F.col("url"))))
+    return p.select("page_id", *(c.alias(n) for n, c in C.url_parts(F.col("url"), F.col("_suffix")).items()))
 
 
 def _suspicion(spark, d):
     parts = C.url_parts(F.col("url"))
-    p = read(spark, d, "pages").select("page_id", *(parts[k].alias(k) for k in ("domain", "suffix", "full_domain")))
-    return p.withColumn("signals", C.signals(F.col("domain"), F.col("suffix"))).withColumn("score", F.size("signals"))
+    p = pages(spark, d).select("page_id", *(parts[k].alias(k) for k in ("domain", "suffix", "full_domain")), (F.pmod("page_id", F.lit(7)) * 20).cast("int").alias("age"))
+    return p.withColumn("signals", C.signals(F.col("domain"), F.col("suffix"), F.col("age"))).withColumn("score", F.size("signals"))
 
 
-_SCORE = f"CAST((suffix IN ({_BAD}))::INT + (length(domain) - length(replace(domain, '-', '')) >= 2)::INT AS INTEGER)"
+_AGE = "((page_id % 7 + 7) % 7) * 20"
+_HYPHENS = "length(domain) - length(replace(domain, '-', ''))"
+_SIGNALS = f"list_filter([CASE WHEN suffix IN ({_BAD}) THEN 'suspicious_tld:' || suffix END, CASE WHEN {_HYPHENS} >= {X.MANY_HYPHENS} THEN 'hyphen_heavy:' || ({_HYPHENS}) || '_hyphens' END, CASE WHEN {_AGE} < {X.NEW_DOMAIN_DAYS} THEN 'new_domain:' || {_AGE} || '_days_old' END], lambda x: x IS NOT NULL)"
 
 
-@query("F6_suspicion_score", f"WITH {URLS} SELECT page_id, full_domain, {_SCORE} AS score FROM parsed")
+@query("F6_suspicion_score", f"WITH {URLS} SELECT page_id, full_domain, {_SIGNALS} AS signals, len({_SIGNALS})::INTEGER AS score FROM parsed")
 def _(spark, d):
-    return _suspicion(spark, d).select("page_id", "full_domain", "score")
+    return _suspicion(spark, d).select("page_id", "full_domain", "signals", "score")
 
 
-@query("F7_suspicious_filter", f"WITH {URLS} SELECT page_id, full_domain FROM parsed WHERE {_SCORE} >= 1")
+@query("F7_suspicious_filter", f"WITH {URLS} SELECT page_id, full_domain FROM parsed WHERE len({_SIGNALS}) >= 1")
 def _(spark, d):
     return _suspicion(spark, d).where("score >= 1").select("page_id", "full_domain")
 
 
-@query("F2_ip_predicate", f"WITH {URLS} SELECT is_ip, count(*) AS n FROM parsed GROUP BY is_ip")
+@query("F2_ip_predicate", f"WITH {URLS} SELECT host, is_ip, count(*) AS n FROM h2 GROUP BY ALL")
 def _(spark, d):
-    return read(spark, d, "pages").groupBy(C.is_ip(C.host(F.col("url"))).alias("is_ip")).agg(F.count("*").alias("n"))
+    host = C.host(F.col("url"))
+    return pages(spark, d).groupBy(host.alias("host"), C.is_ip(host).alias("is_ip")).agg(F.count("*").alias("n"))
 
 
-@query("F5_real_domains", f"WITH {URLS} SELECT host, count(*) AS n, host <> '' AND host NOT LIKE '% %' AND host LIKE '%.%' AND length(host) <= 100 AS real FROM h GROUP BY host")
+@query("F5_real_domains", f"WITH {URLS}, names AS (SELECT host FROM h UNION ALL SELECT unnest(['Paris city', 'Acme.com', 'x' || repeat('y', 100) || '.com', 'ok.net'])) SELECT host, count(*) AS n, host <> '' AND host NOT LIKE '% %' AND host LIKE '%.%' AND length(host) <= 100 AND NOT regexp_matches(host, '^[A-Z][a-z]') AS real FROM names GROUP BY host")
 def _(spark, d):
-    return read(spark, d, "pages").groupBy(C.host(F.col("url")).alias("host")).agg(F.count("*").alias("n")).withColumn("real", C.looks_real(F.col("host")))
+    names = pages(spark, d).select(C.host(F.col("url")).alias("host")).unionByName(spark.createDataFrame([("Paris city",), ("Acme.com",), ("x" + "y" * 100 + ".com",), ("ok.net",)], "host string"))
+    return names.groupBy("host").agg(F.count("*").alias("n")).withColumn("real", C.looks_real(F.col("host")))
 
 
-@query("F4_bare_domain_guard", "SELECT page_id, NOT (url LIKE '%://%' OR url LIKE '%/%') AS resolved FROM pages")
+@query("F4_bare_domain_guard", f"WITH {URLS} SELECT page_id, NOT contains(x, '/') AS resolved FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN host ELSE url END AS x FROM h)")
 def _(spark, d):
-    return read(spark, d, "pages").select("page_id", C.bare_domain(F.col("url")).alias("resolved"))
+    x = F.when(F.col("page_id") % 2 == 0, C.host(F.col("url"))).otherwise(F.col("url"))
+    return pages(spark, d).select("page_id", C.bare_domain(x).alias("resolved"))
 
 
-@query("X1_title", f"SELECT page_id, {_TITLE} AS title FROM pages")
+@query("X1_title", f"WITH {P.PAGES_SQL} SELECT page_id, {_TITLE} AS title FROM pg")
 def _(spark, d):
-    return read(spark, d, "pages").select("page_id", C.title(F.col("html")).alias("title"))
+    return pages(spark, d).select("page_id", C.title(F.col("html")).alias("title"))
 
 
-@query("X2_meta_description", r"SELECT page_id, CASE WHEN regexp_matches(html, '<meta\b[^>]*name\s*=\s*[\x22\x27]description[\x22\x27]', 'is') THEN 'found' END AS description FROM pages")
+@query("X2_meta_description", f"WITH {P.PAGES_SQL} SELECT page_id, {_DESCRIPTION} AS description FROM pg")
 def _(spark, d):
-    return read(spark, d, "pages").select("page_id", C.meta_description(F.col("html")).alias("description"))
+    return pages(spark, d).select("page_id", C.meta_description(F.col("html")).alias("description"))
+
+
+_ROOT = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+_LINK = P._TAG("t", "href")
 
 
-@query("X3_icon_candidates", r"SELECT page_id, CAST(len(regexp_extract_all(html, '<link\b[^>]*rel\s*=\s*[\x22\x27](icon|shortcut icon)[\x22\x27]', 0, 'is')) AS INTEGER) AS n FROM pages")
+@query(
+    "X3_icon_candidates",
+    rf"""WITH {P.PAGES_SQL}, tags AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) AS t, generate_subscripts(regexp_extract_all(html, '(?is)<link\b[^>]*>'), 1) AS pos FROM pg),
+c AS (SELECT page_id, url, pos, {_LINK} AS href, list_position({P.literal(X.ICON_RELATIONS)}, lower({P._TAG('t', 'rel')})) AS priority FROM tags)
+SELECT page_id, list(CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([^:]*:)', 1) || href WHEN starts_with(href, '/') THEN {_ROOT} || href
+  ELSE {_ROOT} || regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) || CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE '' END, '^(.*/)', 1) || href END ORDER BY priority, pos) AS urls
+FROM c WHERE priority > 0 AND href <> '' GROUP BY page_id""",
+)
 def _(spark, d):
-    return read(spark, d, "pages").select("page_id", F.size(C.icon_candidates(F.col("url"), F.col("html"))).alias("n"))
+    found = C.icon_candidates(F.col("url"), F.col("html"))
+    return pages(spark, d).select("page_id", F.transform(found, lambda c: c["url"]).alias("urls")).where(F.size("urls") > 0)
 
 
-@query("X7_brand_keywords", f"WITH t AS (SELECT page_id, lower(coalesce({_TITLE}, '') || ' ') AS txt FROM pages) SELECT page_id, list_filter([{_BRANDS}], lambda b: contains(txt, b)) AS brands FROM t")
+@query("X7_brand_keywords", f"WITH {P.PAGES_SQL} SELECT page_id, {_BRANDS_IN_TEXT} AS brands FROM pg")
 def _(spark, d):
-    return read(spark, d, "pages").select("page_id", C.brands(C.title(F.col("html"))).alias("brands"))
+    return pages(spark, d).select("page_id", C.brands(C.title(F.col("html")), C.meta_description(F.col("html"))).alias("brands"))
 
 
-@query("F9_brand_mismatch", f"WITH {URLS} SELECT page_id, list_filter(list_filter([{_BRANDS}], lambda b: contains(lower(html), b)), lambda b: NOT contains(domain, b)) AS mismatch FROM parsed")
+@query("F9_brand_mismatch", f"WITH {URLS} SELECT page_id, list_filter({_BRANDS_IN_TEXT}, lambda b: NOT contains(domain, b)) AS mismatch FROM parsed")
 def _(spark, d):
-    p = read(spark, d, "pages")
-    return p.select("page_id", C.mismatched(C.brands(F.col("html")), C.url_parts(F.col("url"))["domain"]).alias("mismatch"))
+    found = C.brands(C.title(F.col("html")), C.meta_description(F.col("html")))
+    return pages(spark, d).select("page_id", C.mismatched(found, C.url_parts(F.col("url"))["domain"]).alias("mismatch"))
 
 
 @query("X13_file_name", f"WITH {URLS} SELECT DISTINCT replace(replace(full_domain, '.', '_'), '/', '_') AS file_name FROM parsed")
 def _(spark, d):
-    return read(spark, d, "pages").select(C.file_name(C.url_parts(F.col("url"))["full_domain"]).alias("file_name")).distinct()
+    return pages(spark, d).select(C.file_name(C.url_parts(F.col("url"))["full_domain"]).alias("file_name")).distinct()
 
 
-@query("S3_phishing_jobs", f"WITH {URLS} SELECT arg_min(url, page_id) AS url, full_domain, 1 AS label FROM parsed WHERE trim(url) <> '' GROUP BY full_domain")
+@query("S3_phishing_jobs", f"WITH {URLS} SELECT arg_min(trim(url), page_id) AS url, full_domain, 1 AS label FROM parsed WHERE trim(url) <> '' GROUP BY full_domain")
 def _(spark, d):
-    return signals.phishing_jobs(read(spark, d, "pages").select("page_id", "url"), "page_id")
+    return signals.phishing_jobs(pages(spark, d).select("page_id", "url"), "page_id")
 
 
 @query("S4_benign_jobs", "SELECT DISTINCT 'https://' || trim(p_type) AS url, trim(p_type) AS full_domain, 0 AS label FROM part WHERE trim(p_type) <> '' AND trim(p_type) NOT IN (SELECT trim(p_brand) FROM part WHERE p_brand IS NOT NULL)")
@@ -185,8 +189,8 @@ def _(spark, d):
 @query("S20_cache", "WITH m AS (SELECT max(ts) AS t FROM events) SELECT event_type, count(*) AS n, sum(length(props))::BIGINT AS size FROM events, m WHERE epoch(t)::BIGINT - epoch(ts)::BIGINT <= 7 * 86400 GROUP BY event_type")
 def _(spark, d):
     e = read(spark, d, "events")
-    now = F.lit(e.agg(F.max("ts")).first()[0])
-    return signals.cached(e.withColumnRenamed("ts", "cached_at"), now).groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.length("props")).alias("size"))
+    dated = e.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now"))))  # one row
+    return signals.cached(dated.withColumnRenamed("ts", "cached_at"), F.col("now")).groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.length("props")).alias("size"))
 
 
 @query("S13_json_fields", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -201,18 +205,16 @@ def _(spark, d):
     return signals.whois_rows(w, F.lit("2030-01-01").cast("date")).select("domain", "age_days", _r("weight").alias("weight"))
 
 
-@query("S5_dns_rows", f"WITH {CAMPAIGN} SELECT graph_id, domain, ip, round(weight, 6) AS weight FROM dns")
-def _(spark, d):
-    return campaign_signals(spark, d)["dns"].select("graph_id", "domain", "ip", _r("weight").alias("weight"))
-
-
-_TIERS = _values([(f"AS{n}", t, r) for (t, r), ns in X.ASN_TIERS.items() for n in ns])
+_TIERS = P.values([(f"AS{n}", t, label, r) for (t, r), known in X.ASN_TIERS.items() for n, label in known.items()])
 
 
-@query("F8_asn_reputation", f"WITH t(asn, tier, risk) AS (VALUES {_TIERS}) SELECT p_partkey, coalesce(tier, 'unknown') AS tier, coalesce(risk, 0)::INTEGER AS risk_score, tier IS NOT NULL AS is_flagged FROM part LEFT JOIN t ON asn = 'AS' || (9000 + p_partkey)")
+@query("F8_asn_reputation", f"WITH t(asn, tier, label, risk) AS (VALUES {_TIERS}), n AS (SELECT p_partkey AS k, ' as' || (9000 + p_partkey) AS asn FROM part UNION ALL SELECT -k, CASE k % 3 WHEN 0 THEN replace(asn, 'AS', '') WHEN 1 THEN lower(asn) ELSE asn || ' ' END FROM (SELECT asn, row_number() OVER (ORDER BY asn) AS k FROM t)) SELECT n.k, coalesce(tier, 'unknown') AS tier, label, coalesce(risk, 0)::INTEGER AS risk_score, tier IS NOT NULL AS is_flagged FROM n LEFT JOIN t ON t.asn = CASE WHEN regexp_matches(trim(n.asn), '^[0-9]+$') THEN 'AS' || trim(n.asn) ELSE upper(trim(n.asn)) END")
 def _(spark, d):
-    p = read(spark, d, "part").select("p_partkey", F.concat(F.lit(" as"), F.col("p_partkey") + 9000).alias("asn"))
-    return G.asn_reputation(p).drop("asn")
+    """Every listed system in three spellings, among the parts' numbers."""
+    known = sorted(f"AS{n}" for ns in X.ASN_TIERS.values() for n in ns)
+    rows = [(-k, a.replace("AS", "") if k % 3 == 0 else a.lower() if k % 3 == 1 else a + " ") for k, a in enumerate(known, 1)]
+    p = read(spark, d, "part").select(F.col("p_partkey").cast("long").alias("k"), F.concat(F.lit(" as"), F.col("p_partkey") + 9000).alias("asn"))
+    return G.asn_reputation(p.unionByName(spark.createDataFrame(rows, "k long, asn string"))).drop("asn")
 
 
 # ------------------------------------------------------------------------------------ assembled graphs
@@ -250,12 +252,14 @@ def _(spark, d):
 
 @query(
     "A6_size_histogram",
-    f"WITH {CAMPAIGN}, s AS (SELECT graph_id, count(*) AS n FROM nodes GROUP BY 1), m AS (SELECT greatest(max(n), 10)::DOUBLE AS top FROM s) SELECT CASE WHEN n = top THEN 14 ELSE floor(n / (top / 14))::INTEGER + 1 END AS bin, count(*) AS n FROM s, m GROUP BY 1",
+    f"WITH {CAMPAIGN}, s AS (SELECT graph_id, split_part(graph_id, '-', 2) = 'BUILDING' AS label, count(*) AS n FROM nodes GROUP BY ALL), m AS (SELECT greatest(max(n), 10)::DOUBLE AS top FROM s) SELECT label, CASE WHEN n = top THEN 14 ELSE floor(n / (top / 14))::INTEGER + 1 END AS bin, count(*) AS n FROM s, m GROUP BY ALL",
 )
 def _(spark, d):
-    s = campaign(spark, d)[0].groupBy("graph_id").agg(F.count("*").alias("n"))
-    top = float(max(10, s.agg(F.max("n")).first()[0] or 0))
-    return s.groupBy(C.bin_of(F.col("n"), 0.0, top, 14).alias("bin")).agg(F.count("*").alias("n"))
+    """Fourteen bins up to the largest graph, each label's graphs apart."""
+    s = campaign(spark, d)[0].groupBy("graph_id", (F.split("graph_id", "-")[1] == "BUILDING").alias("label")).agg(F.count("*").alias("n"))
+    top = s.agg(F.greatest(F.max("n"), F.lit(10)).cast("double").alias("top"))
+    k = F.when(F.col("n") == F.col("top"), 14).otherwise(F.floor(F.col("n") / (F.col("top") / 14)).cast("int") + 1)
+    return s.crossJoin(F.broadcast(top)).groupBy("label", k.alias("bin")).agg(F.count("*").alias("n"))
 
 
 @query("A12_first_targets", f"WITH {CAMPAIGN} SELECT graph_id, relation, src, arg_min(dst, edge_idx) AS first_target, count(*) - 1 AS more FROM edges GROUP BY graph_id, relation, src")
@@ -287,33 +291,43 @@ def _(spark, d):
     return G.trimmed(n, e)[0].select("graph_id", "node")
 
 
-@query("G19_connected", None)
+_REACH = "ie AS (SELECT w.graph_id, a.node_idx AS i, b.node_idx AS j FROM way w JOIN nodes a ON a.graph_id = w.graph_id AND a.node = w.node JOIN nodes b ON b.graph_id = w.graph_id AND b.node = w.other), reach AS (SELECT graph_id, node_idx AS i, node_idx AS c FROM nodes UNION SELECT r.graph_id, e.j, r.c FROM reach r JOIN ie e ON e.graph_id = r.graph_id AND e.i = r.i)"
+_PARTS = "SELECT n.graph_id, n.node, min(c)::INTEGER AS component FROM reach r JOIN nodes n ON n.graph_id = r.graph_id AND n.node_idx = r.i GROUP BY ALL"
+_SPLIT = CAMPAIGN.replace("edges AS (SELECT graph_id, src, dst, row_number()", "edges AS (SELECT * FROM (SELECT graph_id, src, dst, row_number()").replace("AS edge_idx, relation, weight FROM raw)", "AS edge_idx, relation, weight FROM raw) WHERE relation <> 'registered-by' AND relation <> 'shares-cert')")
+
+
+def _split(spark, d):
+    """The campaigns without registrars' and certificates' links, so that they fall apart."""
+    n, e = campaign(spark, d)
+    return n, e.where("relation NOT IN ('registered-by', 'shares-cert')")
+
+
+@query("G19_connected", f"WITH RECURSIVE {_SPLIT}, {_REACH}, parts AS ({_PARTS}) SELECT graph_id, count(DISTINCT component) = 1 AS is_connected FROM parts GROUP BY 1")
 def _(spark, d):
-    return G.connected(*campaign(spark, d))
+    return G.connected(*_split(spark, d))
 
 
 @query(
     "G19_components",
-    f"WITH RECURSIVE {CAMPAIGN}, ie AS (SELECT w.graph_id, a.node_idx AS i, b.node_idx AS j FROM way w JOIN nodes a ON a.graph_id = w.graph_id AND a.node = w.node JOIN nodes b ON b.graph_id = w.graph_id AND b.node = w.other), reach AS (SELECT graph_id, node_idx AS i, node_idx AS c FROM nodes UNION SELECT r.graph_id, e.j, r.c FROM reach r JOIN ie e ON e.graph_id = r.graph_id AND e.i = r.i) SELECT n.graph_id, n.node, min(c)::INTEGER AS component FROM reach r JOIN nodes n ON n.graph_id = r.graph_id AND n.node_idx = r.i GROUP BY ALL",
+    f"WITH RECURSIVE {_SPLIT}, {_REACH} {_PARTS}",
 )
 def _(spark, d):
-    return G.components(*campaign(spark, d))
+    return G.components(*_split(spark, d))
+
+
+_COMPOSED = f"""{CAMPAIGN},
+ends AS (SELECT graph_id, src AS node, relation IN {P._RIGHT} AS side FROM edges WHERE relation <> 'shares-cert' UNION SELECT graph_id, dst, relation IN {P._RIGHT} FROM edges WHERE relation <> 'shares-cert'),
+both_ AS (SELECT e.graph_id, e.node, n.node_idx, side, CASE WHEN side AND n.type = 'ip' THEN 'co_host' ELSE n.type END AS type FROM ends e JOIN nodes n USING (graph_id, node))"""
 
 
-@query("J10_compose", f"WITH {CAMPAIGN} SELECT graph_id, count(*) AS n FROM nodes GROUP BY 1")
+@query("J10_compose", f"WITH {_COMPOSED}, u AS (SELECT graph_id, node, arg_max(type, side) AS type, min({{'s': side, 'i': node_idx}}) AS o FROM both_ GROUP BY ALL) SELECT graph_id, node, type, (row_number() OVER (PARTITION BY graph_id ORDER BY o) - 1)::INTEGER AS node_idx FROM u")
 def _(spark, d):
-    g = campaign(spark, d)
-    return G.composed(g, g)[0].groupBy("graph_id").agg(F.count("*").alias("n"))
+    return G.composed(*P.composed_parts(spark, d))[0]
 
 
-@query(
-    "G2_expansion",
-    "WITH e AS (SELECT DISTINCT n_regionkey AS r, s_nationkey AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey), a AS (SELECT 'R' || r AS seed, 1 AS depth, 'N' || n AS domain FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY n) AS k FROM e) WHERE k <= 5) SELECT 'R' || r_regionkey AS seed, 0 AS depth, 'R' || r_regionkey AS domain FROM region UNION ALL SELECT * FROM a",
-)
+@query("J10_composed_edges", f"WITH {CAMPAIGN} SELECT graph_id, src, dst, relation, (row_number() OVER (PARTITION BY graph_id ORDER BY relation IN {P._RIGHT}, edge_idx) - 1)::INTEGER AS edge_idx FROM edges WHERE relation <> 'shares-cert'")
 def _(spark, d):
-    n, s = read(spark, d, "nation"), read(spark, d, "supplier")
-    leads = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("R"), "n_regionkey").alias("domain"), F.concat(F.lit("N"), "s_nationkey").alias("leaf"), F.col("s_nationkey").alias("ord")).distinct()
-    return G.expanded(read(spark, d, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("seed")), leads)
+    return G.composed(*P.composed_parts(spark, d))[1].select("graph_id", "src", "dst", "relation", "edge_idx")
 
 
 @query("R11_hypergraph", f"WITH {CAMPAIGN} SELECT graph_id, node, type, 180 + 60 * degree AS size FROM nodes JOIN degree USING (graph_id, node)")
@@ -362,24 +376,43 @@ _DAMAGED = SCORES.replace("edges AS (SELECT graph_id, src, dst, row_number()", "
 
 @query(
     "M2_hits",
-    f"WITH {_DAMAGED}, hit AS (SELECT r.graph_id, r.rank, h.src IS NOT NULL AS found FROM ranked r LEFT JOIN hidden h ON h.graph_id = r.graph_id AND least(h.src, h.dst) = least(r.node_a, r.node_b) AND greatest(h.src, h.dst) = greatest(r.node_a, r.node_b)) SELECT graph_id, count(*) FILTER (found) AS n_found, count(*) AS n_candidates, round(coalesce(sum(1.0 / rank) FILTER (found) / count(*) FILTER (found), 0), 6) AS mrr, (count(*) FILTER (found AND rank <= 1))::DOUBLE AS hits_1, (count(*) FILTER (found AND rank <= 10))::DOUBLE AS hits_10 FROM hit WHERE graph_id IN (SELECT graph_id FROM hidden) GROUP BY graph_id",
+    f"WITH {_DAMAGED}, hit AS (SELECT r.graph_id, r.rank, h.src IS NOT NULL AS found FROM ranked r LEFT JOIN hidden h ON h.graph_id = r.graph_id AND least(h.src, h.dst) = least(r.node_a, r.node_b) AND greatest(h.src, h.dst) = greatest(r.node_a, r.node_b)) SELECT graph_id, count(*) FILTER (found) AS n_found, count(*) AS n_candidates, round(coalesce(sum(1.0 / rank) FILTER (found) / count(*) FILTER (found), 0), 6) AS mrr, round(coalesce(sum(1.0 / rank) FILTER (found), 0), 6) AS mrr_all, (avg(rank) FILTER (found))::DOUBLE AS mean_rank, (count(*) FILTER (found AND rank <= 1))::DOUBLE AS hits_1, (count(*) FILTER (found AND rank <= 3))::DOUBLE AS hits_3, (count(*) FILTER (found AND rank <= 5))::DOUBLE AS hits_5, (count(*) FILTER (found AND rank <= 10))::DOUBLE AS hits_10 FROM hit WHERE graph_id IN (SELECT graph_id FROM hidden) GROUP BY graph_id",
 )
 def _(spark, d):
     n, e = campaign(spark, d)
     hidden = _last_links(e)
     damaged = e.join(hidden, ["graph_id", "src", "dst"], "left_anti")
     m = L.recovery_metrics(L.ranked(L.adamic_adar(n, damaged)), hidden)
-    return m.select("graph_id", "n_found", "n_candidates", _r("mrr").alias("mrr"), "hits_1", "hits_10")
+    return m.select("graph_id", "n_found", "n_candidates", _r("mrr").alias("mrr"), _r("mrr_all").alias("mrr_all"), "mean_rank", "hits_1", "hits_3", "hits_5", "hits_10")
 
 
-def _walk_links(spark, d):
-    n, e = campaign(spark, d)
-    return L.top_links(S.walk_scores(n, e, L.candidates(n, e)))
+def _links(top):
+    return L.explained(top).select("graph_id", "rank", "node_a", "node_b", "type_a", "type_b", "relation", _r("score").alias("score"), "confidence", "explanation")
 
 
 @query("G16_missing_links")
 def missing_links(spark, d):
-    return _walk_links(spark, d).select("graph_id", "rank", "node_a", "node_b", "type_a", "type_b", "relation", _r("score").alias("score"), "confidence", "explanation")
+    return _links(S.top_walk_links(*campaign(spark, d)))
+
+
+_STAR_PAIRS = f"""m AS (SELECT s_nationkey AS g, count(*) AS k, count(*) + (SELECT count(*) FROM region) AS n FROM supplier GROUP BY 1),
+ips AS (SELECT s_nationkey AS g, 's' || s_suppkey AS node, row_number() OVER (PARTITION BY s_nationkey ORDER BY 's' || s_suppkey) AS i FROM supplier),
+asns AS (SELECT 'AS' || r_regionkey AS node, row_number() OVER (ORDER BY 'AS' || r_regionkey) AS j FROM region),
+t(t) AS (VALUES {", ".join(f"({x}::DOUBLE)" for x in X.TIMES)}),
+s AS (SELECT g, k, n, avg(pow((cos(sqrt(n) * t) - 1) / n, 2)) AS score FROM m, t GROUP BY ALL),
+pairs AS (SELECT s.g, i, j, k, ips.node AS node_a, asns.node AS node_b, score, row_number() OVER (PARTITION BY s.g ORDER BY i, j) AS rank FROM s JOIN ips ON ips.g = s.g CROSS JOIN asns)"""
+
+
+@query("G16_star_links", f"WITH {_STAR_PAIRS} SELECT g::VARCHAR AS graph_id, rank::INTEGER AS rank, node_a, node_b, 'ip' AS type_a, 'asn' AS type_b, 'hosted-in' AS relation, round(score, 6) AS score, 'high' AS confidence, 'server ' || node_a || ' is probably hosted by ' || node_b AS explanation FROM pairs WHERE rank <= 10")
+def _(spark, d):
+    """Stars have the walk in closed form: each leaf reaches each other one alike, so ties are broken by place."""
+    return _links(S.top_walk_links(*mixed_stars(spark, d)))
+
+
+@query("G16_walk_scores", f"WITH {_STAR_PAIRS} SELECT g::VARCHAR AS graph_id, i::INTEGER AS i, (k + j)::INTEGER AS j, round(score, 9) AS score FROM pairs")
+def _(spark, d):
+    """All candidates of the stars with their scores."""
+    return S.walk_scores(*mixed_stars(spark, d)).select("graph_id", "i", "j", _r("score", 9).alias("score"))
 
 
 @query("G17_random_baseline")
@@ -390,40 +423,54 @@ def _(spark, d):
 @query("G18_hide_and_recover")
 def _(spark, d):
     """Metrics of the walk, of common neighbours and of chance over the same hidden links."""
-    n, e = campaign(spark, d)
-    hidden = S.hidden_links(n, e)
-    damaged = e.join(hidden.select("graph_id", "src", "dst"), ["graph_id", "src", "dst"], "left_anti")
-    pairs = L.candidates(n, damaged)
-    out = None
-    for name, scored in (("walk", S.walk_scores(n, damaged, pairs)), ("common", L.adamic_adar(n, damaged, pairs)), ("random", S.random_scores(pairs))):
-        m = L.recovery_metrics(L.ranked(scored), hidden).withColumn("method", F.lit(name))
-        out = m if out is None else out.unionByName(m)
-    return out
+    return S.recoveries(*campaign(spark, d))
+
+
+@query("G18_hidden_links", f"WITH {CAMPAIGN}, s AS (SELECT graph_id, (SELECT count(*) FROM nodes x WHERE x.graph_id = g.graph_id) AS n, count(*) AS e FROM edges g GROUP BY graph_id), c AS (SELECT graph_id, n, e, greatest(1, floor(e * 0.2::DOUBLE))::BIGINT AS k FROM s) SELECT graph_id, least(CASE WHEN k >= e - (n - 1) THEN greatest(1, e - n) ELSE k END, e - n + 1) AS n_hidden FROM c WHERE e - n + 1 > 0")
+def _(spark, d):
+    """How many links each campaign hides: a fifth, less where it is sparse, none that would take it apart."""
+    return S.hidden_links(*campaign(spark, d)).groupBy("graph_id").agg(F.count("*").alias("n_hidden"))
 
 
 @query("G24_recovery_stability")
 def _(spark, d):
-    """Mean reciprocal rank of common neighbours over ten seeds."""
-    n, e = campaign(spark, d)
-    out = None
-    for seed in range(10):
-        hidden = S.hidden_links(n, e, seed=seed)
-        damaged = e.join(hidden.select("graph_id", "src", "dst"), ["graph_id", "src", "dst"], "left_anti")
-        m = L.recovery_metrics(L.ranked(L.adamic_adar(n, damaged)), hidden).select("graph_id", "mrr", F.lit(seed).alias("seed"))
-        out = m if out is None else out.unionByName(m)
-    return out.groupBy("seed").agg(F.avg("mrr").alias("mean_mrr"), F.min("mrr").alias("min_mrr"), F.max("mrr").alias("max_mrr"))
+    """Spread of the mean reciprocal rank of the three methods over ten seeds, by method and seed."""
+    r = S.recoveries(*campaign(spark, d), seeds=tuple(range(10)))
+    q = lambda p: F.percentile("mrr", p)
+    return r.groupBy("method", "seed").agg(F.avg("mrr").alias("mean_mrr"), F.min("mrr").alias("low"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max("mrr").alias("high"))
+
+
+_BINS = 29
+
+
+def _density(scored, hidden):
+    """Densities over 29 bins from 0 to 1.1 times a graph's highest score, of hidden links and of the others."""
+    h = hidden.select("graph_id", F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), F.lit(True).alias("hidden"))
+    s = scored.select("graph_id", F.least("node_a", "node_b").alias("lo"), F.greatest("node_a", "node_b").alias("hi"), F.round("score", 12).alias("score"))
+    s = s.join(h, ["graph_id", "lo", "hi"], "left").select("graph_id", F.coalesce("hidden", F.lit(False)).alias("hidden"), "score")
+    width = s.groupBy("graph_id").agg((F.round(F.max("score") * 1.1, 12) / _BINS).alias("width")).where("width > 0")
+    n = s.groupBy("graph_id", "hidden").agg(F.count("*").alias("n"))
+    k = F.least(F.floor(F.round(F.col("score") / F.col("width"), 9)).cast("int") + 1, F.lit(_BINS))
+    g = s.join(width, "graph_id").groupBy("graph_id", "hidden", "width", k.alias("bin")).agg(F.count("*").alias("k")).join(n, ["graph_id", "hidden"])
+    return g.select("graph_id", "hidden", "bin", _r(F.col("k") / (F.col("n") * F.col("width")), 4).alias("density"))
 
 
 @query(
     "A8_score_density",
-    f"WITH {SCORES}, m AS (SELECT graph_id, max(score) AS top, count(*) AS n FROM scored GROUP BY 1 HAVING max(score) > 0) SELECT graph_id, CASE WHEN score = top THEN 30 ELSE floor(score / (top / 30))::INTEGER + 1 END AS bin, round(count(*) / (n * top / 30), 4) AS density FROM scored JOIN m USING (graph_id) GROUP BY graph_id, 2, n, top",
+    f"WITH {_DAMAGED}, s AS (SELECT r.graph_id, h.src IS NOT NULL AS hidden, round(r.score, 12) AS score FROM scored r LEFT JOIN hidden h ON h.graph_id = r.graph_id AND least(h.src, h.dst) = least(r.node_a, r.node_b) AND greatest(h.src, h.dst) = greatest(r.node_a, r.node_b)), w AS (SELECT graph_id, round(max(score) * 1.1, 12) / {_BINS} AS width FROM s GROUP BY 1 HAVING width > 0), n AS (SELECT graph_id, hidden, count(*) AS n FROM s GROUP BY ALL) SELECT graph_id, hidden, least(floor(round(score / width, 9))::INTEGER + 1, {_BINS}) AS bin, round(count(*) / (n * width), 4) AS density FROM s JOIN w USING (graph_id) JOIN n USING (graph_id, hidden) GROUP BY graph_id, hidden, 3, n, width",
 )
 def _(spark, d):
-    s = L.adamic_adar(*campaign(spark, d)).select("graph_id", "score")
-    m = s.groupBy("graph_id").agg(F.max("score").alias("top"), F.count("*").alias("n")).where("top > 0")
-    b = F.when(F.col("score") == F.col("top"), 30).otherwise(F.floor(F.col("score") / (F.col("top") / 30)).cast("int") + 1)
-    g = s.join(m, "graph_id").groupBy("graph_id", b.alias("bin"), "n", "top").agg(F.count("*").alias("k"))
-    return g.select("graph_id", "bin", _r(F.col("k") / (F.col("n") * F.col("top") / 30), 4).alias("density"))
+    n, e = campaign(spark, d)
+    hidden = _last_links(e)
+    return _density(L.adamic_adar(n, e.join(hidden, ["graph_id", "src", "dst"], "left_anti")), hidden)
+
+
+@query("G25_score_separation")
+def _(spark, d):
+    """The same of the walk's scores, over links hidden at random without the bound on sparse graphs."""
+    n, e = campaign(spark, d)
+    hidden = written(S.hidden_links(n, e, clamp=False), "hidden")
+    return _density(S.walk_scores(n, e.join(hidden.select("graph_id", "src", "dst"), ["graph_id", "src", "dst"], "left_anti")), hidden)
 
 
 # ----------------------------------------------------------------------------------- spectra and walks
@@ -432,22 +479,41 @@ STAR = "star AS (SELECT s_nationkey::VARCHAR AS graph_id, count(*) AS k FROM sup
 _T = "t(t) AS (VALUES (0.5::DOUBLE), (1.0), (2.0), (5.0), (10.0))"
 
 
-@query("G4_hamiltonian", f"WITH {CAMPAIGN} SELECT graph_id, node AS i, other AS j, round(-weight, 6) AS h FROM way WHERE weight <> 0")
+@query("G4_hamiltonian", f"WITH {CAMPAIGN} SELECT graph_id, a.node_idx::INTEGER AS i, b.node_idx::INTEGER AS j, round(-weight, 6) AS h FROM way JOIN nodes a USING (graph_id, node) JOIN nodes b ON b.graph_id = way.graph_id AND b.node = way.other WHERE weight <> 0".replace("SELECT graph_id, a.", "SELECT way.graph_id, a."))
+def _(spark, d):
+    return S.hamiltonian_entries(*campaign(spark, d)).withColumn("h", _r("h"))
+
+
+@query("G4_laplacian", f"WITH {CAMPAIGN} SELECT d.graph_id, n.node_idx::INTEGER AS i, n.node_idx::INTEGER AS j, round(weighted, 6) AS h FROM degree d JOIN nodes n USING (graph_id, node) WHERE weighted <> 0 UNION ALL SELECT way.graph_id, a.node_idx::INTEGER, b.node_idx::INTEGER, round(-weight, 6) FROM way JOIN nodes a USING (graph_id, node) JOIN nodes b ON b.graph_id = way.graph_id AND b.node = way.other WHERE weight <> 0")
+def _(spark, d):
+    return S.hamiltonian_entries(*campaign(spark, d), variant="laplacian").withColumn("h", _r("h"))
+
+
+@query("G4_unweighted", f"WITH {CAMPAIGN} SELECT graph_id, count(*) AS n, sum(-1.0)::DOUBLE AS total FROM way GROUP BY graph_id")
+def _(spark, d):
+    return S.hamiltonian_entries(*campaign(spark, d), weighted=False).groupBy("graph_id").agg(F.count("*").alias("n"), F.sum("h").alias("total"))
+
+
+_TRADE = "m AS (SELECT c_mktsegment AS graph_id, c_nationkey AS i, s_nationkey AS j, count(*)::DOUBLE AS h FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL)"
+
+
+@query("G6_asymmetries", f"WITH {_TRADE} SELECT a.graph_id, a.i, a.j, a.h FROM m a LEFT JOIN m b ON a.graph_id = b.graph_id AND a.i = b.j AND a.j = b.i WHERE abs(a.h - coalesce(b.h, 0)) > 1e-10")
 def _(spark, d):
-    return G.both_ways(campaign(spark, d)[1]).where("weight <> 0").select("graph_id", F.col("node").alias("i"), F.col("other").alias("j"), _r(-F.col("weight")).alias("h"))
+    """Lines between nations, which are not the same both ways."""
+    c, o, l, s = (read(spark, d, n) for n in ("customer", "orders", "lineitem", "supplier"))  # noqa: E741
+    m = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("c_custkey") == F.col("o_custkey")).join(s, F.col("s_suppkey") == F.col("l_suppkey"))
+    return S.asymmetries(m.groupBy(F.col("c_mktsegment").alias("graph_id"), F.col("c_nationkey").alias("i"), F.col("s_nationkey").alias("j")).agg(F.count("*").cast("double").alias("h")))
 
 
-@query("G4_laplacian_diagonal", f"WITH {CAMPAIGN} SELECT graph_id, node, round(weighted, 6) AS h FROM degree")
+@query("G6_hermitian", f"WITH {CAMPAIGN} SELECT graph_id, count(*) AS n, round(sum(-weight), 6) AS total FROM way WHERE weight <> 0 GROUP BY graph_id")
 def _(spark, d):
-    return G.degrees(campaign(spark, d)[1]).select("graph_id", "node", _r("weighted_degree").alias("h"))
+    """Entries that passed the check, which raises on a matrix that is not its own mirror."""
+    return S.hermitian(S.hamiltonian_entries(*campaign(spark, d))).groupBy("graph_id").agg(F.count("*").alias("n"), _r(F.sum("h")).alias("total"))
 
 
-@query("G6_hermitian", f"WITH {CAMPAIGN} SELECT count(*) AS asymmetric FROM way a WHERE NOT EXISTS (SELECT 1 FROM way b WHERE a.graph_id = b.graph_id AND a.node = b.other AND a.other = b.node AND abs(a.weight - b.weight) < 1e-10)")
+@query("G11_permutations", f"WITH {STAR} SELECT graph_id, true AS same FROM star")
 def _(spark, d):
-    w = G.both_ways(campaign(spark, d)[1]).select("graph_id", "node", "other", "weight")
-    back = w.toDF("graph_id", "other", "node", "back")
-    m = w.join(back, ["graph_id", "node", "other"], "left").where(F.col("back").isNull() | (F.abs(F.col("weight") - F.col("back")) >= 1e-10))
-    return m.agg(F.count("*").alias("asymmetric"))
+    return S.permutation_errors(*stars(spark, d)).select("graph_id", (F.col("max_error") < 1e-8).alias("same"))
 
 
 @query("G5_spectrum", f"WITH {STAR} SELECT graph_id, p.pos::INTEGER AS pos, round(CASE WHEN p.pos = 0 THEN -sqrt(k) WHEN p.pos = k THEN sqrt(k) ELSE 0 END, 6) AS eigenvalue FROM star, range(0, 100000) p(pos) WHERE p.pos <= k")
@@ -482,13 +548,39 @@ def _(spark, d):
 
 @query(
     "A9_return_statistics",
-    f"WITH {STAR}, {_T}, p AS (SELECT graph_id, t, k, pow(cos(sqrt(k) * t), 2) AS h, pow(1 + (cos(sqrt(k) * t) - 1) / k, 2) AS l FROM star, t) SELECT graph_id, t, round((h + k * l) / (k + 1), 6) AS mean, round(least(h, l), 6) AS low, round(greatest(h, l), 6) AS high FROM p",
+    f"WITH {STAR}, {_T}, p AS (SELECT graph_id, t, k, pow(cos(sqrt(k) * t), 2) AS h, pow(1 + (cos(sqrt(k) * t) - 1) / k, 2) AS l FROM star, t) SELECT graph_id, t, round((h + k * l) / (k + 1), 6) AS mean, round(sqrt(k) / (k + 1) * abs(h - l), 6) AS std, round(least(h, l), 6) AS low, round(greatest(h, l), 6) AS high, round(l, 6) AS median FROM p",
 )
 def _(spark, d):
     f = S.fingerprints(*stars(spark, d), method="return_probability")
     t = F.array(*map(F.lit, X.TIMES))
     at = lambda k: _r(F.get("phi", F.col("p") * 5 + k))
-    return f.select("graph_id", "phi", F.posexplode(t).alias("p", "t")).select("graph_id", "t", at(0).alias("mean"), at(2).alias("low"), at(3).alias("high"))
+    return f.select("graph_id", "phi", F.posexplode(t).alias("p", "t")).select("graph_id", "t", at(0).alias("mean"), at(1).alias("std"), at(2).alias("low"), at(3).alias("high"), at(4).alias("median"))
+
+
+_BINNED = "v AS (SELECT graph_id, k, unnest([-sqrt(k), 0, sqrt(k)]) AS v, unnest([1, k - 1, 1]) AS n FROM star), b AS (SELECT graph_id, CASE WHEN round(v, 9) = 10 THEN 20 ELSE floor(round(v, 9) + 10)::INTEGER + 1 END AS bin, sum(n) AS n FROM v WHERE round(v, 9) BETWEEN -10 AND 10 AND n > 0 GROUP BY ALL), shares AS (SELECT graph_id, bin, n / sum(n) OVER (PARTITION BY graph_id) AS share FROM b)"
+_PHI = f"""{STAR}, {_BINNED}, ts(ti, t) AS (VALUES {", ".join(f"({k}, {x}::DOUBLE)" for k, x in enumerate(X.TIMES))}),
+hist AS (SELECT star.graph_id, r.b - 1 AS pos, coalesce(share, 0) AS v FROM star CROSS JOIN range(1, 21) r(b) LEFT JOIN shares ON shares.graph_id = star.graph_id AND bin = r.b),
+ret AS (SELECT graph_id, k, ti, pow(cos(sqrt(k) * t), 2) AS h, pow(1 + (cos(sqrt(k) * t) - 1) / k, 2) AS l FROM star, ts),
+stats AS (SELECT graph_id, 20 + 5 * ti + r.j AS pos, CASE r.j WHEN 0 THEN (h + k * l) / (k + 1) WHEN 1 THEN sqrt(k) / (k + 1) * abs(h - l) WHEN 2 THEN least(h, l) WHEN 3 THEN greatest(h, l) ELSE l END AS v FROM ret, range(5) r(j)),
+parts AS (SELECT * FROM hist UNION ALL SELECT * FROM stats), phis AS (SELECT graph_id, list(v ORDER BY pos) AS phi FROM parts GROUP BY graph_id)"""
+
+
+def _embedded(seed: int, name: str) -> str:
+    """The embedding of a star from the layers' weights, which numpy's generator gives."""
+    rng = np.random.default_rng(seed)
+    w = [rng.standard_normal((16, 16)) * 0.1, rng.standard_normal((16, 32)) * 0.1]
+    rows = P.values([(k, r, c, float(x)) for k, m in enumerate(w) for r, row in enumerate(m) for c, x in enumerate(row)])
+    d, i = X.EMBEDDED_TYPES.index("domain"), X.EMBEDDED_TYPES.index("ip")
+    return f"""w AS (SELECT layer, r, c, v::DOUBLE AS v FROM (VALUES {rows}) t(layer, r, c, v)),
+h1 AS (SELECT r, greatest(0, sum(v) FILTER (c IN ({d}, {8 + i}))) AS hub, greatest(0, sum(v) FILTER (c IN ({i}, {8 + d}))) AS leaf FROM w WHERE layer = 0 GROUP BY r),
+h2 AS (SELECT w.r, greatest(0, sum(w.v * CASE WHEN w.c < 16 THEN hub ELSE leaf END)) AS hub, greatest(0, sum(w.v * CASE WHEN w.c < 16 THEN leaf ELSE hub END)) AS leaf FROM w JOIN h1 ON h1.r = w.c % 16 WHERE layer = 1 GROUP BY w.r),
+{name} AS (SELECT graph_id, list((hub + k * leaf) / (k + 1) ORDER BY r) AS embedding FROM star, h2 GROUP BY graph_id)"""
+
+
+@query("G10_star_fingerprints", f"WITH {_PHI} SELECT graph_id, pos::INTEGER AS pos, round(v, 6) AS v FROM parts")
+def _(spark, d):
+    f = S.fingerprints(*stars(spark, d))
+    return f.select("graph_id", F.posexplode("phi").alias("pos", "v")).withColumn("v", _r("v"))
 
 
 @query("G10_fingerprints")
@@ -496,20 +588,56 @@ def _(spark, d):
     return S.fingerprints(*campaign(spark, d)).withColumn("phi", F.transform("phi", lambda x: F.round(x, 6)))
 
 
+@query("G12_star_embeddings", f"WITH {STAR}, {_embedded(0, 'e')} SELECT graph_id, list_transform(embedding, lambda x: round(x, 9)) AS embedding FROM e")
+def _(spark, d):
+    return S.embeddings(*stars(spark, d)).select("graph_id", F.transform("embedding", lambda x: F.round(x, 9)).alias("embedding"))
+
+
 @query("G12_embeddings")
 def _(spark, d):
     return S.embeddings(*campaign(spark, d)).withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 6)))
 
 
+@query("F15_one_hot", f"WITH {CAMPAIGN} SELECT DISTINCT type, list_transform({P.literal(X.EMBEDDED_TYPES)}, lambda t: (t = CASE WHEN list_contains({P.literal(X.EMBEDDED_TYPES)}, type) THEN type ELSE 'unknown' END)::INT::DOUBLE) AS feature FROM (SELECT type FROM nodes UNION ALL SELECT 'favicon')")
+def _(spark, d):
+    types = campaign(spark, d)[0].select("type").distinct().unionByName(spark.createDataFrame([("favicon",)], "type string"))
+    return types.select("type", C.one_hot(F.col("type")).alias("feature"))
+
+
+@query("A10_neighbour_types", f"WITH {CAMPAIGN} SELECT w.graph_id, w.node, round(avg((n.type = 'domain')::INT), 6) AS mean_domain, round(avg((n.type = 'ip')::INT), 6) AS mean_ip, max((n.type = 'geo')::INT)::DOUBLE AS max_geo FROM way w JOIN nodes n ON n.graph_id = w.graph_id AND n.node = w.other GROUP BY ALL")
+def _(spark, d):
+    f = G.neighbour_features(*campaign(spark, d))
+    at = lambda c, t: F.get(c, F.lit(X.EMBEDDED_TYPES.index(t)))
+    return f.select("graph_id", "node", _r(at("mean", "domain")).alias("mean_domain"), _r(at("mean", "ip")).alias("mean_ip"), at("max", "geo").alias("max_geo"))
+
+
+_COMPARED = f"{_PHI}, {_embedded(1, 'e')}, few AS (SELECT graph_id FROM star ORDER BY graph_id LIMIT {X.COMPARED}), compared AS (SELECT a.graph_id AS graph_a, b.graph_id AS graph_b, 1 - list_cosine_similarity(a.phi, b.phi) AS walk, 1 - list_cosine_similarity(x.embedding, y.embedding) AS gnn FROM phis a JOIN phis b ON a.graph_id < b.graph_id JOIN e x ON x.graph_id = a.graph_id JOIN e y ON y.graph_id = b.graph_id WHERE a.graph_id IN (FROM few) AND b.graph_id IN (FROM few))"
+
+
+def _star_pairs(spark, d):
+    n, e = stars(spark, d)
+    return S.compared(S.fingerprints(n, e), S.embeddings(n, e, seed=1))
+
+
+@query("G15_star_pairs", f"WITH {_COMPARED} SELECT graph_a, graph_b, round(walk, 6) + 0.0 AS walk_distance, round(gnn, 6) + 0.0 AS embedding_distance, walk > 0.05 AND NOT gnn > 0.05 AS blind_spot FROM compared")
+def _(spark, d):
+    return _star_pairs(spark, d).withColumns({"walk_distance": _r("walk_distance"), "embedding_distance": _r("embedding_distance")})
+
+
+@query("A13_star_blind_spots", f"WITH {_COMPARED} SELECT count(*) FILTER (walk > 0.05 AND NOT gnn > 0.05) AS blind, count(*) AS total FROM compared")
+def _(spark, d):
+    return _star_pairs(spark, d).agg(F.count_if("blind_spot").alias("blind"), F.count("*").alias("total"))
+
+
 @query("G15_compared_graphs")
 def _(spark, d):
-    n, e = campaign(spark, d)
+    n, e = signals.first_graphs(*campaign(spark, d), X.COMPARED)
     return S.compared(S.fingerprints(n, e), S.embeddings(n, e, seed=1))
 
 
 @query("A13_blind_spots")
 def _(spark, d):
-    n, e = campaign(spark, d)
+    n, e = signals.first_graphs(*campaign(spark, d), X.COMPARED)
     return S.compared(S.fingerprints(n, e), S.embeddings(n, e, seed=1)).agg(F.count_if("blind_spot").alias("blind"), F.count("*").alias("total"))
 
 
@@ -528,7 +656,28 @@ def _(spark, d):
     return s.select("graph_id", F.posexplode("signature").alias("bin", "share")).where("share > 0").select("graph_id", "bin", _r("share").alias("share"))
 
 
-@query("G23_missing_nodes")
+_MATCHES = f"""{STAR}, ms AS (SELECT DISTINCT k AS m FROM star UNION SELECT unnest(range(2, 7))),
+ev AS (SELECT m, unnest([-sqrt(m), 0, sqrt(m)]) AS v, unnest([1, m - 1, 1]) AS n FROM ms),
+bs AS (SELECT m, CASE WHEN round(v, 9) = 4 THEN 3 ELSE floor((round(v, 9) + 4) / 2)::INTEGER END AS bin, sum(n) AS n FROM ev WHERE round(v, 9) BETWEEN -4 AND 4 AND n > 0 GROUP BY ALL),
+sh AS (SELECT m, bin, n / sum(n) OVER (PARTITION BY m) AS share FROM bs),
+sig AS (SELECT ms.m, list(coalesce(share, 0) ORDER BY r.b) AS s FROM ms CROSS JOIN range(4) r(b) LEFT JOIN sh ON sh.m = ms.m AND bin = r.b GROUP BY ms.m),
+sq AS (SELECT m, s, list_sum(list_transform(s, lambda x: x * x)) AS q FROM sig),
+arch(archetype, r, extra) AS (VALUES ('shared_ip_star', 1, 1), ('shared_cert_star', 2, 1), ('dense_multi_signal', 3, 2)),
+d AS (SELECT graph_id, k + 1 AS n_nodes, archetype, r, b.m AS size, b.m + extra AS full_, round(sqrt(CASE r WHEN 1 THEN pow(list_distance(a.s, b.s), 2) WHEN 2 THEN a.q + b.q ELSE a.q + b.q / 2 END), 12) AS d FROM star JOIN sq a ON a.m = star.k CROSS JOIN arch CROSS JOIN (SELECT * FROM sq WHERE m BETWEEN 2 AND 6) b),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY d, r, size) AS rank FROM d)"""
+
+
+@query("G23_missing_nodes", f"WITH {_MATCHES} SELECT graph_id, CASE WHEN full_ > n_nodes OR d < 0.2 THEN archetype END AS best_archetype, full_::INTEGER AS best_size, round(d, 6) AS match_distance, greatest(0, full_ - n_nodes)::INTEGER AS missing, CASE WHEN full_ > n_nodes THEN 'domain' END AS likely_type, CASE WHEN d < 0.05 THEN 'high' WHEN d < 0.15 THEN 'medium' ELSE 'low' END AS confidence FROM ranked WHERE rank = 1")
+def _(spark, d):
+    return S.missing_nodes(S.signatures(*stars(spark, d))).withColumn("match_distance", _r("match_distance"))
+
+
+@query("W3_archetype_matches", f"WITH {_MATCHES} SELECT graph_id, rank::INTEGER AS rank, archetype, size::INTEGER AS size, round(d, 6) AS d FROM ranked WHERE rank <= 5")
+def _(spark, d):
+    return S.archetype_matches(S.signatures(*stars(spark, d)), 5).select("graph_id", "rank", "archetype", "size", _r("d").alias("d"))
+
+
+@query("G23_campaign_nodes")
 def _(spark, d):
     return S.missing_nodes(S.signatures(*campaign(spark, d)))
 
@@ -586,6 +735,7 @@ def _(spark, d):
 
 @query("W6_keep_first", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) WHERE k = 1")
 def _(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return read(spark, d, "orders").withColumn("k", F.row_number().over(w)).where("k = 1").select("o_custkey", "o_orderkey")
+    return G.first_of_each(read(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
+
 
+from gossamer.plans import reports  # noqa: E402, F401

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gossamer.operators.graph import assemble
+from gossamer.sources.scratch import written
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,18 +14,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def campaign_signals(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Customers as domains, the suppliers of their urgent orders' first lines as servers.
+    """Customers as domains, the suppliers of all their orders' lines as servers.
 
-    A graph is a nation and a market segment; the segment is the registrar, the next customer of the graph
-    shares the certificate, the supplier's nation is the hosting system and its region the place.
+    A graph is a nation, a market segment and a month of orders, so every order and every line takes part and graphs
+    stay small; the segment is the registrar, the next customer of the graph shares the certificate, the
+    supplier's nation is the hosting system and its region the place.
     """
     c, o, l = (read(spark, sf_dir, n) for n in ("customer", "orders", "lineitem"))  # noqa: E741
     s, n = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "nation")
-    gid = F.concat_ws("-", "c_nationkey", "c_mktsegment").alias("graph_id")
+    gid = F.concat_ws("-", "c_nationkey", "c_mktsegment", F.date_format("o_orderdate", "yyyyMM")).alias("graph_id")
     domain = F.concat(F.lit("c"), "c_custkey").alias("domain")
-    urgent = o.where("o_orderpriority = '1-URGENT'").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
-    first = l.where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_quantity")
-    met = urgent.join(first, "o_orderkey").join(c.select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey")
+    lines = l.select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_quantity")
+    met = o.select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderdate").join(lines, "o_orderkey").join(c.select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey")
     dns = met.groupBy(gid, domain, F.col("l_suppkey").alias("s_suppkey")).agg((F.least(F.max("l_quantity") * 72, F.lit(3600)) / 3600).alias("weight"))
     dns = dns.withColumn("ip", F.concat(F.lit("s"), "s_suppkey"))
     named = dns.select("graph_id", "domain").distinct()
@@ -34,15 +35,22 @@ def campaign_signals(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {
         "dns": dns.select("graph_id", "domain", "ip", "weight"),
         "cert": named.withColumn("peer", following),
-        "whois": named.withColumn("registrar", F.concat(F.lit("m"), F.substring_index("graph_id", "-", -1))),
+        "whois": named.withColumn("registrar", F.concat(F.lit("m"), F.split("graph_id", "-")[1])),
         "asn": ips.select("graph_id", "ip", F.concat(F.lit("AS"), "s_nationkey").alias("asn")),
         "geo": ips.select("graph_id", "ip", F.concat(F.lit("R"), "n_regionkey").alias("geo")),
     }
 
 
+_BUILT: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
 def campaign(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the campaign graphs."""
-    return assemble(campaign_signals(spark, sf_dir))
+    """Nodes and edges of the campaign graphs: assembled and written once a session, then read back."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        nodes, edges = assemble({k: written(v, f"signal-{k}") if k == "dns" else v for k, v in campaign_signals(spark, sf_dir).items()})
+        _BUILT[key] = written(nodes, "nodes"), written(edges, "edges")
+    return tuple(df.select("*") for df in _BUILT[key])
 
 
 def stars(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -51,3 +59,16 @@ def stars(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     gid = F.col("s_nationkey").cast("string").alias("graph_id")
     e = s.select(gid, F.lit("hub").alias("domain"), F.concat(F.lit("s"), "s_suppkey").alias("ip"))
     return assemble({"dns": e})
+
+
+def mixed_stars(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A star for each nation with suppliers: a registrar as hub, its suppliers (servers) and the regions (hosts) as leaves."""
+    s, r = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "region")
+    gid = F.col("s_nationkey").cast("string").alias("graph_id")
+    ips = s.select(gid, F.concat(F.lit("s"), "s_suppkey").alias("node"), F.lit("ip").alias("type"), F.lit(1).alias("_k"))
+    asns = s.select(gid).distinct().crossJoin(F.broadcast(r.select(F.concat(F.lit("AS"), "r_regionkey").alias("node"), F.lit("asn").alias("type"), F.lit(2).alias("_k"))))
+    hub = s.select(gid).distinct().select("graph_id", F.lit("hub").alias("node"), F.lit("registrar").alias("type"), F.lit(0).alias("_k"))
+    every = hub.unionByName(ips).unionByName(asns)
+    nodes = every.withColumn("node_idx", F.row_number().over(Window.partitionBy("graph_id").orderBy("_k", "node")) - 1)
+    edges = nodes.where("_k > 0").select("graph_id", F.lit("hub").alias("src"), F.col("node").alias("dst"), (F.col("node_idx") - 1).alias("edge_idx"), F.lit("link").alias("relation"), F.lit(1.0).alias("weight"))
+    return nodes.select("graph_id", "node", "node_idx", "type"), edges
