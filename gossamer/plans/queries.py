@@ -291,8 +291,16 @@ def _(spark, d):
     return G.trimmed(n, e)[0].select("graph_id", "node")
 
 
-_REACH = "ie AS (SELECT w.graph_id, a.node_idx AS i, b.node_idx AS j FROM way w JOIN nodes a ON a.graph_id = w.graph_id AND a.node = w.node JOIN nodes b ON b.graph_id = w.graph_id AND b.node = w.other), reach AS (SELECT graph_id, node_idx AS i, node_idx AS c FROM nodes UNION SELECT r.graph_id, e.j, r.c FROM reach r JOIN ie e ON e.graph_id = r.graph_id AND e.i = r.i)"
-_PARTS = "SELECT n.graph_id, n.node, min(c)::INTEGER AS component FROM reach r JOIN nodes n ON n.graph_id = r.graph_id AND n.node_idx = r.i GROUP BY ALL"
+# Every server has one place, so components are those of places that share a domain; registrars are alone.
+_REACH = """ipgeo AS (SELECT graph_id, src AS ip, dst AS geo FROM edges WHERE relation = 'located-in'),
+homes AS (SELECT graph_id, geo AS node, geo FROM ipgeo UNION SELECT graph_id, ip, geo FROM ipgeo
+          UNION SELECT e.graph_id, e.dst, g.geo FROM edges e JOIN ipgeo g ON g.graph_id = e.graph_id AND g.ip = e.src WHERE relation = 'hosted-in'
+          UNION SELECT e.graph_id, e.src, g.geo FROM edges e JOIN ipgeo g ON g.graph_id = e.graph_id AND g.ip = e.dst WHERE relation = 'resolves-to'),
+gg AS (SELECT DISTINCT a.graph_id, a.geo AS x, b.geo AS y FROM homes a JOIN homes b USING (graph_id, node)),
+gr AS (SELECT * FROM gg UNION SELECT gr.graph_id, gr.x, gg.y FROM gr JOIN gg ON gr.graph_id = gg.graph_id AND gr.y = gg.x),
+cls AS (SELECT graph_id, x AS geo, min(y) AS class FROM gr GROUP BY ALL),
+classes AS (SELECT DISTINCT graph_id, node, class FROM homes JOIN cls USING (graph_id, geo))"""
+_PARTS = "SELECT n.graph_id, n.node, (min(n.node_idx) OVER (PARTITION BY n.graph_id, coalesce(c.class, n.node)))::INTEGER AS component FROM nodes n LEFT JOIN classes c USING (graph_id, node)"
 _SPLIT = CAMPAIGN.replace("edges AS (SELECT graph_id, src, dst, row_number()", "edges AS (SELECT * FROM (SELECT graph_id, src, dst, row_number()").replace("AS edge_idx, relation, weight FROM raw)", "AS edge_idx, relation, weight FROM raw) WHERE relation <> 'registered-by' AND relation <> 'shares-cert')")
 
 

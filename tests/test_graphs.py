@@ -59,7 +59,7 @@ def test_golden_distances():
 
 def test_demo_predictions_and_recovery(spark):
     n, e = X.frames(spark, [X.demo()])
-    top = L.top_links(S.walk_scores(n, e, L.candidates(n, e)), 5).orderBy("rank").collect()
+    top = L.explained(S.top_walk_links(n, e, 5)).orderBy("rank").collect()
     assert [(r.node_a, r.node_b, round(r.score, 9)) for r in top] == [
         ("phish3.xyz", "separate_cert", 0.117010162), ("phish1.xyz", "admin.phish0.xyz", 0.100655013), ("phish2.xyz", "admin.phish0.xyz", 0.100655013),
         ("phish3.xyz", "185.220.101.47", 0.058626319), ("phish4.xyz", "wildcard_cert", 0.049009602),
@@ -71,10 +71,117 @@ def test_demo_predictions_and_recovery(spark):
     }
     left = e.join(hidden.select("graph_id", "src", "dst"), ["graph_id", "src", "dst"], "left_anti")
     pairs = L.candidates(n, left)
-    m = L.recovery_metrics(L.ranked(S.walk_scores(n, left, pairs)), hidden).first()
+    m = L.recovery_metrics(L.ranked(S.walk_scores(n, left)), hidden).first()
     assert (round(m.mrr, 6), m.hits_3, m.hits_5, m.n_candidates) == (0.182286, 0.2, 0.4, 31)
     assert round(L.recovery_metrics(L.ranked(L.adamic_adar(n, left, pairs)), hidden).first().mrr, 6) == 0.141259
     assert round(L.recovery_metrics(L.ranked(S.random_scores(pairs)), hidden).first().mrr, 6) == 0.128403
+    every = {(r.seed, r.method): r for r in S.recoveries(n, e, seeds=range(10)).collect()}
+    assert [round(every[0, k].mrr, 6) for k in ("walk", "common", "random")] == [0.182286, 0.141259, 0.128403]
+    assert [round(sum(every[s, k].mrr for s in range(10)) / 10, 4) for k in ("walk", "common", "random")] == [0.1933, 0.1789, 0.0920]
+    assert every[0, "walk"].asDict() | m.asDict(True) == every[0, "walk"].asDict() | {k: v for k, v in m.asDict(True).items()}
+
+
+def test_top_links_equal_the_relational_way(spark):
+    """Ranks and bands made in a graph's task, against those of windows and percentiles over all candidates."""
+    graphs = [X.demo(), X.plain(3, [(0, 1)], "tiny"), *[(n.assign(graph_id=f"{g}"), e.assign(graph_id=f"{g}")) for g, (_, _, n, e) in enumerate(X.archetypes())]]
+    n, e = X.frames(spark, graphs)
+    columns = ["graph_id", "rank", "node_a", "node_b", "relation", "confidence"]
+    got = sorted(r[:] for r in S.top_walk_links(n, e, 7).select(columns).collect())
+    assert got == sorted(r[:] for r in L.top_links(S.walk_scores(n, e), 7).select(columns).collect()) and len(got) >= 7
+    pairs = sorted(r[:] for r in L.candidates(n, e).select("graph_id", "i", "j", "relation").collect())
+    assert pairs == sorted(r[:] for r in S.walk_scores(n, e).select("graph_id", "i", "j", "relation").collect())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_hidden_links_as_by_trying_each(seed):
+    """The spanning tree's complement is what hiding one by one, with a look at the whole graph each time, gives."""
+    import pandas as pd
+
+    r = np.random.default_rng(seed)
+    links = sorted({tuple(sorted(p)) for p in r.integers(0, 14, (40, 2)).tolist() if p[0] != p[1]} | {(k, k + 1) for k in range(13)})
+    n, e = X.plain(14, links)
+
+    def whole(left):
+        seen, todo = {0}, [0]
+        while todo:
+            x = todo.pop()
+            for a, b in left:
+                for y in ((b,) if a == x else (a,) if b == x else ()):
+                    if y not in seen:
+                        seen.add(y)
+                        todo.append(y)
+        return len(seen) == 14
+
+    count = max(1, int(len(links) * 0.2))
+    count = max(1, len(links) - 14) if count >= len(links) - 13 else count
+    left, want = list(links), []
+    for k in np.random.default_rng(seed).permutation(len(links)):
+        if len(want) < count and whole([x for x in left if x != links[k]]):
+            left.remove(links[k])
+            want.append(int(k))
+    assert S.hide(n, e, seed=seed) == want
+    assert S.hide(n, pd.concat([e.iloc[:1]]), seed=seed) == []  # in pieces already
+
+
+def test_hubs_are_scored_as_wedges_are(spark):
+    n, e = X.frames(spark, [X.demo()])
+    score = lambda **k: {(r.node_a, r.node_b): round(r.score, 9) for r in L.adamic_adar(n, e, **k).collect()}
+    assert score(hub=0) == score(hub=2) == score()
+
+
+def test_matrices_that_are_not_hermitian_are_refused(spark):
+    rows = [("a", 0, 1, -1.0), ("a", 1, 0, -1.0), ("b", 0, 1, 2.0)]
+    m = spark.createDataFrame(rows, "graph_id string, i int, j int, h double")
+    assert S.hermitian(m.where("graph_id = 'a'")).count() == 2 and S.asymmetries(m).count() == 1
+    with pytest.raises(Exception, match="not Hermitian"):
+        S.hermitian(m).collect()
+
+
+def test_large_graphs_are_refused(spark, monkeypatch):
+    n, e = X.frames(spark, [X.demo()])
+    monkeypatch.setattr(S, "MAX_NODES", 10)
+    with pytest.raises(Exception, match="dense operators take 10"):
+        S.spectra(n, e).collect()
+
+
+def brute_campaign(egos, seed, depth, per_level, budget):
+    """Expansion of one seed, a leaf at a time."""
+    odd = lambda x: x.rsplit(".", 1)[-1] in {"xyz", "tk"}
+    leaves = lambda g: [x for x, t in egos.get(g, []) if t == "cert_peer" and x not in done] + [x for x, t in egos.get(g, []) if t == "co_host" and odd(x) and x not in done]
+    nodes, done, log = {x for x, _ in egos[seed]}, {seed}, []
+    frontier = leaves(seed)
+    for d in range(1, depth + 1):
+        found = []
+        for leaf in frontier[:per_level]:
+            if leaf in done:
+                continue
+            if len(nodes) >= budget:
+                break
+            done.add(leaf)
+            if not egos.get(leaf):
+                log.append((seed, d, leaf, "empty", None))
+                continue
+            nodes |= {x for x, _ in egos[leaf]}
+            found += leaves(leaf)
+            log.append((seed, d, leaf, "expanded", len(egos[leaf])))
+        frontier = list(dict.fromkeys(found))
+    return sorted(log, key=str)
+
+
+@pytest.mark.parametrize("budget", [4, 9, 14, 80])
+def test_campaigns_against_expanding_leaf_by_leaf(spark, budget):
+    r = np.random.default_rng(budget)
+    names = [f"d{k}.{('com', 'xyz', 'tk')[k % 3]}" for k in range(24)]
+    egos = {}
+    for k, name in enumerate(names[:20]):  # the last have no graph of their own
+        others = [x for x in r.permutation(names).tolist() if x != name][:6]
+        egos[name] = [(name, "domain")] + [(x, ("cert_peer", "co_host", "ip")[j % 3]) for j, x in enumerate(others)]
+    rows = [(g, x, i, t) for g, own in egos.items() for i, (x, t) in enumerate(own)]
+    table = spark.createDataFrame(rows, "graph_id string, node string, node_idx int, type string")
+    seeds = names[:5]
+    _, log = G.expanded(spark.createDataFrame([(s,) for s in seeds], "seed string"), table, depth=3, per_level=3, budget=budget)
+    got = {s: sorted([x[:] for x in log.where(F.col("seed") == s).select("seed", "depth", "domain", "status", "nodes_added").collect()], key=str) for s in seeds}
+    assert got == {s: brute_campaign(egos, s, 3, 3, budget) for s in seeds}
 
 
 def test_confidence_bands(spark):
@@ -114,9 +221,6 @@ def test_assembly_and_expansion(spark, tmp_path):
     assert {r.node: r.type for r in n.collect()} == {"a.com": "domain", "1.1.1.1": "ip", "b.com": "co_host"}
     assert {(r.src, r.dst): r.relation for r in e.collect()} == {("a.com", "1.1.1.1"): "also-hosts", ("1.1.1.1", "b.com"): "also-hosts"}
     assert {r.node: r.type for r in G.assemble({"dns": dns, "shared": shared}, protect_root=False)[0].collect()}["a.com"] == "co_host"
-    leads = spark.createDataFrame([("s", f"l{k}", k) for k in range(7)] + [("l0", "s", 0), ("l0", "m", 1)], "domain string, leaf string, ord int")
-    found = G.expanded(spark.createDataFrame([("s",)], "seed string"), leads)
-    assert sorted((r.depth, r.domain) for r in found.collect()) == [(0, "s")] + [(1, f"l{k}") for k in range(5)] + [(2, "m")]
     signals.write_graphs(n.select("graph_id").distinct().withColumn("label", F.lit(1)), n, e, str(tmp_path / "g"))
     assert [df.count() for df in signals.read_graphs(spark, str(tmp_path / "g"))] == [1, 3, 2]
     assert G.connected(*G.composed((n, e), (n, e))).first().is_connected

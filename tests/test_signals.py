@@ -46,7 +46,10 @@ def test_parsed_answers(spark):
     got = S.shared_hosts(hosts)
     assert [r["count"] for r in got.orderBy("ip").collect()] == [3, None, None] and sorted(r.co_host for r in S.co_hosts(got).collect()) == ["a.com", "c.org"]
     hops = spark.createDataFrame([("a", "b"), ("b", "c"), ("q", "q2")], "url string, next string")
-    assert sorted(S.redirect_ends(hops).collect())[0] == ("a", "c", 2)
+    first = sorted(S.redirect_ends(hops).collect())[0]
+    assert (first.url, first.final_url, first.chain, first.hop_count, first.resolved) == ("a", "c", ["a", "b", "c"], 2, True)
+    loop = {r.url: r for r in S.redirect_ends(spark.createDataFrame([("x", "y"), ("y", "x")], "url string, next string")).collect()}
+    assert loop["x"].error == "TooManyRedirects" and loop["x"].final_url is None and loop["x"].hop_count == 8
     asn = spark.createDataFrame([("AS44477",), ("44477",), (" as62212 ",), ("AS9009",), ("AS15169",), (None,)], "asn string")
     assert [(r.tier, r.risk_score) for r in G.asn_reputation(asn).collect()] == [("bulletproof", 3), ("bulletproof", 3), ("threat_actor_linked", 2), ("anonymization", 1), ("unknown", 0), ("unknown", 0)]
 
@@ -65,3 +68,44 @@ def test_batch_sinks(spark, tmp_path):
     assert [x.usable_for_training for x in S.usable(r).orderBy("url").collect()] == [False, True, True]
     jobs = r.select("url").union(spark.createDataFrame([("u4",)], "url string"))
     assert sorted(x.url for x in S.unfinished(jobs, r).collect()) == ["u2", "u4"] and S.unfinished(jobs, r, False).count() == 1
+
+
+def test_feeds_zips_and_results(spark, tmp_path):
+    import zipfile
+
+    (tmp_path / "f.csv").write_text("id,url\n" + "".join(f"{k},u{k}\n" for k in range(50)) + "51\n52,u52,more\n")
+    assert [r.id for r in S.phishing_feed(spark, str(tmp_path / "f.csv"), 3).collect()] == ["0", "1", "2"]
+    assert sorted((r.id, r.url) for r in S.phishing_feed(spark, str(tmp_path / "f.csv")).where("id > '5'").collect())[-2:] == [("8", "u8"), ("9", "u9")]
+    with zipfile.ZipFile(tmp_path / "top.zip", "w") as z:
+        z.writestr("top.csv", "2,b.com\n1, a.com \nno rank\n3,c.com\n")
+    assert [(r.rank, r.domain, r.label) for r in S.benign_list(spark, str(tmp_path / "top.zip"), 2).collect()] == [(1, "a.com", 0), (2, "b.com", 0)]
+    (tmp_path / "r.csv").write_text("url,label\na,1\nb,x\nc,0,9\n,\n")
+    good, bad = S.scanned_results(spark, str(tmp_path / "r.csv"), "url string, label int")
+    assert sorted(str(r.url) for r in good.collect()) == ["None", "a"] and sorted(r.line for r in bad.collect()) == ["b,x", "c,0,9"]
+    path = S.write_dated(good, str(tmp_path), "list", "2025-01-02")
+    assert path.endswith("list_2025-01-02") and spark.read.option("header", True).csv(path).count() == 2
+
+
+def test_hot_domain_and_empty_tables(spark):
+    feed = spark.range(3000).select("id", F.concat(F.lit("http://p"), "id", F.lit(".evil.com/")).alias("url"))
+    assert [r.url for r in S.phishing_jobs(feed, "id").collect()] == ["http://p0.evil.com/"]
+    assert S.phishing_jobs(feed.where("id < 0"), "id", 5).count() == 0
+    assert S.peer_records(S.logged_names(spark.createDataFrame([], "domain string, name_value string, issuer string"))).count() == 0
+    assert S.with_public_suffix(feed.where("id < 0"), spark.createDataFrame([("com",)], "rule string")).count() == 0
+
+
+def test_streams_of_urls(spark, tmp_path):
+    """New files of URLs: the first of each registered domain, and suspicious ones by hour."""
+    from gossamer.streaming import urls as U
+
+    rows = [(dt.datetime(2025, 1, 1, 0, 5), "http://a.evil.xyz/1"), (dt.datetime(2025, 1, 1, 0, 6), "http://b.evil.xyz/2"), (dt.datetime(2025, 1, 1, 2, 0), "http://good.org")]
+    spark.createDataFrame(rows, "ts timestamp, url string").write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("ts timestamp, url string").parquet(str(tmp_path / "in"))
+
+    def drained(df, name, mode):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert q.awaitTermination(60)
+        return spark.table(name)
+
+    assert sorted(r.full_domain for r in drained(U.first_seen(stream()), "first_urls", "append").collect()) == ["evil.xyz", "good.org"]
+    assert sorted((r.suffix, r.n, r.n_suspicious) for r in drained(U.signal_counts(stream()), "url_signals", "complete").collect()) == [("org", 1, 0), ("xyz", 2, 2)]
