@@ -372,7 +372,7 @@ def head_of(shards: DataFrame, size: int) -> Logs:
 
 
 #: A probe: the row, the string, how often the row has it.
-PROBE = np.dtype([("row", "V16"), ("key", np.uint64), ("times", np.int64)])
+PROBE = np.dtype([("row", np.int64), ("key", np.uint64), ("times", np.int32)])
 
 
 def scored(docs: DataFrame, depth: int = DEPTH, folds: int = 10, max_grams: int = MAX_GRAMS, head_grams: int = HEAD_GRAMS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -388,6 +388,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, folds: int = 10, max_grams: int
 
     def scan(batches):
         known: dict[bytes, bytes] = {}
+        numbers = lookup.RowNumbers()
         for batch in batches:
             ids, texts = batch.column(0), utf8(batch.column(1))
             top, strings = sent.value
@@ -413,7 +414,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, folds: int = 10, max_grams: int
             cuts = pa.array(np.cumsum([0] + [len(k) for k, _ in far]), pa.int32())
             lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([x[c] for x in far] or [np.zeros(0)]).astype(kind))) for c, kind in ((0, np.int64), (1, np.int32))]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(held), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(scores, pa.float64()), pa.array(cols[3], pa.int64()), lookup.row_names(len(held)), lookup.tail_column(tails), *lists],
+                [ids, pa.array(held), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(scores, pa.float64()), pa.array(cols[3], pa.int64()), numbers.take(len(held)), lookup.tail_column(tails), *lists],
                 names=schema.names,
             )
 
@@ -421,19 +422,19 @@ def scored(docs: DataFrame, depth: int = DEPTH, folds: int = 10, max_grams: int
         for batch in batches:
             size = batch.column("_strings").value_lengths().to_numpy()
             flat = np.empty(int(size.sum()), PROBE)
-            flat["row"] = np.repeat(np.frombuffer(b"".join(batch.column("_row").to_pylist()), "V16"), size)
+            flat["row"] = np.repeat(batch.column("_row").to_numpy(), size)
             flat["key"], flat["times"] = batch.column("_strings").flatten().to_numpy().view(np.uint64), batch.column("_uses").flatten().to_numpy()
             if len(flat):
                 yield from routed.packed(shard_of(flat["key"], ends), flat)
 
     def answer(model: Model, flat: np.ndarray) -> pa.RecordBatch:
-        names, at = np.unique(flat["row"].copy().view(np.uint64).reshape(-1, 2), axis=0, return_inverse=True)
-        sums = np.bincount(at.ravel(), weights=model.log10(flat["key"].copy()).astype(np.float64) * flat["times"], minlength=len(names))
-        return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in names], pa.binary()), pa.array(sums)], names=["_row", "far_score"])
+        names, at = np.unique(flat["row"], return_inverse=True)
+        sums = np.bincount(at, weights=model.log10(flat["key"].copy()).astype(np.float64) * flat["times"], minlength=len(names))
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(sums)], names=["_row", "far_score"])
 
     rows = written(docs.select(doc_id, text).mapInArrow(scan, schema), "lm-rows")
     asked = rows.where(F.size("_strings") > 0).select("_row", "_strings", "_uses").mapInArrow(ask, "shard int, data binary")
-    strings = routed.answered(shards, asked, PROBE, pickle.loads, answer, "_row binary, far_score double")
+    strings = routed.answered(shards, asked, PROBE, pickle.loads, answer, "_row long, far_score double")
     # A tail word without a count adds ``rare``; those with one add the difference.
     hits = lookup.tail_hits(rows, words).select("_row", F.col("times").cast("long").alias("far_known"), (F.col("times") * (F.log10(F.col("n") + 0.1) - rare)).alias("far"), F.lit(0.0).alias("far_score"))
     hits = hits.unionByName(strings.select("_row", F.lit(0).cast("long").alias("far_known"), F.lit(0.0).alias("far"), "far_score"))

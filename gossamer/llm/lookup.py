@@ -8,12 +8,12 @@ hot, because ``HEAD`` keys are used more often than it.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,9 +23,9 @@ HEAD = 1 << 17
 
 _TAIL = pa.struct([("k1", pa.int64()), ("k2", pa.int64()), ("times", pa.int32())])
 
-#: What a document scan adds for ``tail_hits``: a name for the row, and the keys the head doesn't have.
+#: What a document scan adds for ``tail_hits``: the row's number, and the keys the head doesn't have.
 TAIL_FIELDS = [
-    T.StructField("_row", T.BinaryType()),
+    T.StructField("_row", T.LongType()),
     T.StructField("_tail", T.ArrayType(T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("times", T.IntegerType())]))),
 ]
 
@@ -63,10 +63,16 @@ class Head:
         return at, (self.k1[at] == keys[:, 0]) & (self.k2[at] == keys[:, 1])
 
 
-def row_names(n: int) -> pa.Array:
-    """A random name of 128 bits for each of ``n`` rows."""
-    flat = os.urandom(16 * n)
-    return pa.array([flat[16 * k : 16 * k + 16] for k in range(n)], pa.binary())
+class RowNumbers:
+    """Numbers that no other row of a table has: the task's partition, then a count. For tables that are written,
+    since only one attempt of a task is kept then."""
+
+    def __init__(self):
+        self.next = TaskContext.get().partitionId() << 40
+
+    def take(self, n: int) -> pa.Array:
+        self.next += n
+        return pa.array(np.arange(self.next - n, self.next))
 
 
 def tail_column(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:

@@ -69,6 +69,7 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", do
 
     def scan(batches):
         known: dict[str, bytes] = {}
+        numbers = lookup.RowNumbers()
         for batch in batches:
             pieces, top = compiled(sent).pieces, head.value
             size, near, tails = [], [], []
@@ -85,7 +86,7 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", do
                 size.append(len(t))
                 near.append(int((top.values[at[there]] * n[there]).sum()) if there.any() else 0)
                 tails.append((k[~there], n[~there].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(near, pa.int64()), lookup.row_names(len(size)), lookup.tail_column(tails)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(near, pa.int64()), numbers.take(len(size)), lookup.tail_column(tails)], names=schema.names)
 
     rows = written(docs.select(doc_id, text).mapInArrow(scan, schema), "frequencies")
     far = lookup.tail_hits(rows, table.select("k1", "k2", "pieces")).groupBy("_row").agg(F.sum(F.col("times") * F.col("pieces")).alias("far"))
