@@ -284,13 +284,23 @@ def walk_scores(nodes: DataFrame, edges: DataFrame, times=tuple(X.TIMES)) -> Dat
 
 
 def top_walk_links(nodes: DataFrame, edges: DataFrame, k: int = 10, times=tuple(X.TIMES)) -> DataFrame:
-    """The ``k`` likeliest candidates of each graph with rank and confidence; only these leave the graph's task.
+    """The ``k`` likeliest candidates of each graph by the walk. Same rows as ``links.top_links`` over ``walk_scores``."""
+    return _top_links(nodes, edges, k, lambda n, e: walk_matrix(adjacency(n, e)[1], times))
 
-    The bands are percentiles over all of a graph's candidates. Same rows as ``links.top_links`` over ``walk_scores``.
+
+def top_common_links(nodes: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
+    """The same by common neighbours: the rows of ``links.top_links`` over ``links.adamic_adar``, for graphs that fit a task."""
+    return _top_links(nodes, edges, k, lambda n, e: common_matrix(linked(n, e)))
+
+
+def _top_links(nodes: DataFrame, edges: DataFrame, k: int, matrix) -> DataFrame:
+    """The ``k`` best candidates of each graph with rank and confidence; only these leave the graph's task.
+
+    The bands are percentiles over all of a graph's candidates.
     """
 
     def make(g, n, e):
-        all_ = _scored_pairs(n, e, lambda n, e: walk_matrix(adjacency(n, e)[1], times))
+        all_ = _scored_pairs(n, e, matrix)
         s = np.round(all_["score"].to_numpy(), 12)
         if not len(s):
             return []

@@ -368,7 +368,7 @@ def _(spark, d):
     f"WITH {SCORES}, b AS (SELECT graph_id, count(*) AS n, quantile_cont(round(score, 12), 0.5) AS p50, quantile_cont(round(score, 12), 0.75) AS p75, max(round(score, 12)) AS top FROM scored GROUP BY 1) SELECT graph_id, rank::INTEGER AS rank, node_a, node_b, relation, round(score, 6) AS score, CASE WHEN round(score, 12) >= CASE WHEN n > 3 THEN p75 ELSE top END THEN 'high' WHEN round(score, 12) >= CASE WHEN n > 1 THEN p50 ELSE 0 END THEN 'medium' ELSE 'low' END AS confidence, replace(replace(template, '{{a}}', CASE WHEN type_a = first_type THEN node_a ELSE node_b END), '{{b}}', CASE WHEN type_a = first_type THEN node_b ELSE node_a END) AS explanation FROM ranked JOIN b USING (graph_id) WHERE rank <= 10",
 )
 def _(spark, d):
-    top = L.top_links(L.adamic_adar(*campaign(spark, d)))
+    top = L.explained(S.top_common_links(*campaign(spark, d)))
     return top.select("graph_id", "rank", "node_a", "node_b", "relation", _r("score").alias("score"), "confidence", "explanation")
 
 

@@ -88,6 +88,8 @@ def test_top_links_equal_the_relational_way(spark):
     columns = ["graph_id", "rank", "node_a", "node_b", "relation", "confidence"]
     got = sorted(r[:] for r in S.top_walk_links(n, e, 7).select(columns).collect())
     assert got == sorted(r[:] for r in L.top_links(S.walk_scores(n, e), 7).select(columns).collect()) and len(got) >= 7
+    common = sorted(r[:] for r in S.top_common_links(n, e, 7).select(columns).collect())
+    assert common == sorted(r[:] for r in L.top_links(L.adamic_adar(n, e), 7).select(columns).collect())
     pairs = sorted(r[:] for r in L.candidates(n, e).select("graph_id", "i", "j", "relation").collect())
     assert pairs == sorted(r[:] for r in S.walk_scores(n, e).select("graph_id", "i", "j", "relation").collect())
 
