@@ -5,11 +5,11 @@ holds the payload's length, a frame with a Xing table (frames, bytes, 100 seek p
 information says "no coded spectrum" so that the rest of each frame is ancillary data carrying the
 payload, and an ID3v1 tag. The last frame takes the smallest bitrate that fits: variable bitrate.
 
-``parse`` reads any byte string: it skips tags, searches for frame headers wherever sync is lost, accepts
-a header only if the next frame or the end of the audio follows it, verifies the CRC of protected Layer III
-frames, counts protected frames of Layers I and II as unverified (their CRC spans the bit allocation, which
-is not decoded), skips free-format frames as lost sync, reads Xing, Info and VBRI tables and gives an exact duration (samples over sample rate) and the
-offset of every frame.
+``parse`` reads any byte string: it reads ID3v2.2 to 2.4 and ID3v1 tags, searches for frame headers wherever sync is
+lost, where it accepts a header only if the next frame or the end of the audio follows it, verifies the CRC of protected
+frames of Layers I and III, counts those of Layer II as unverified (their CRC spans a bit allocation that is not
+decoded), skips free-format frames as lost sync, reads Xing, Info and VBRI tables with the encoder's delay and
+padding, and gives an exact duration (samples without those two, over sample rate) and the offset of every frame.
 
 Defined edge cases: null and empty texts store one block of padding; bytes without any frame give zero
 frames and no duration; damaged frames are counted, not raised; repeated rows give equal values; only the
@@ -78,6 +78,7 @@ class Header:
     size: int
     samples: int
     side: int  # bytes of Layer III side information
+    alloc: int = 0  # bytes of Layer I bit allocation
 
     @property
     def kind(self) -> tuple:
@@ -99,7 +100,10 @@ def header(four: bytes) -> Header | None:
         samples = 1152 if one or layer == 2 else 576
         size = samples // 8 * 1000 * kbps // hz + padding
     side = 0 if layer != 3 else (17 if mono else 32) if one else 9 if mono else 17
-    return Header(version, layer, not bits >> 16 & 1, kbps, hz, mono, size, samples, side)
+    joint = bits >> 6 & 3 == 1
+    bound = 4 * (1 + (bits >> 4 & 3)) if joint else 32  # bands that each channel has for itself
+    alloc = 0 if layer != 1 else 16 if mono else (bound + 32) // 2
+    return Header(version, layer, not bits >> 16 & 1, kbps, hz, mono, size, samples, side, alloc)
 
 
 def _build(kbps: int) -> bytes:
@@ -160,6 +164,8 @@ class Audio:
     resyncs: int = 0
     skipped: int = 0
     crc_unverified: int = 0
+    delay: int = 0  # samples that the encoder put before and behind the sound
+    padding: int = 0
 
     @property
     def samples(self) -> int:
@@ -167,10 +173,13 @@ class Audio:
 
     @property
     def duration(self) -> tuple[int, int]:
-        """Seconds as a reduced fraction; rates may differ between frames."""
+        """Seconds as a reduced fraction; rates may differ between frames (then nothing is taken off)."""
         top, bottom = 0, 1
-        for rate in {h.rate for h in self.headers}:
+        rates = {h.rate for h in self.headers}
+        for rate in rates:
             n = sum(h.samples for h in self.headers if h.rate == rate)
+            if len(rates) == 1 and n > self.delay + self.padding:
+                n -= self.delay + self.padding
             top, bottom = top * rate + n * bottom, bottom * rate
             top, bottom = top // (g := gcd(top, bottom)), bottom // g
         return top, bottom
@@ -181,18 +190,8 @@ def _read_tags(data: bytes, out: Audio) -> tuple[int, int]:
     start, end = 0, len(data)
     while data[start : start + 3] == b"ID3" and start + 10 <= end and max(data[start + 6 : start + 10]) < 128:
         size = sum(b << s for b, s in zip(data[start + 6 : start + 10], (21, 14, 7, 0)))
-        at, stop = start + 10, min(end, start + 10 + size)
-        while at + 10 <= stop and data[at] and data[start + 3] in (3, 4):
-            n = struct.unpack(">I", data[at + 4 : at + 8])[0]
-            if data[start + 3] == 4:
-                n = sum(b << s for b, s in zip(data[at + 4 : at + 8], (21, 14, 7, 0)))
-            name, body = data[at : at + 4].decode("latin-1"), data[at + 10 : min(stop, at + 10 + n)]
-            if name == "TXXX" and body[:1] == b"\0":
-                name, _, value = body[1:].partition(b"\0")
-                out.tags[name.decode("latin-1")] = value.decode("latin-1")
-            elif name[0] == "T":
-                out.tags[name] = body[1:].decode("latin-1").rstrip("\0")
-            at += 10 + n
+        stop = min(end, start + 10 + size)
+        _read_frames(data[start + 10 : stop], data[start + 3], data[start + 5], out)
         start = min(end, stop + 10 * (data[start + 5] >> 4 & 1))
     if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
@@ -201,6 +200,32 @@ def _read_tags(data: bytes, out: Audio) -> tuple[int, int]:
     return start, end
 
 
+def _read_frames(tag: bytes, version: int, flags: int, out: Audio) -> None:
+    """Text frames of a tag of version 2.2, 2.3 or 2.4."""
+    syncsafe = lambda x: sum(b << s for b, s in zip(x, (21, 14, 7, 0)))
+    if flags & 128 and version < 4:
+        tag = tag.replace(b"\xff\x00", b"\xff")
+    at, head = 0, 6 if version == 2 else 10
+    if flags & 64 and version == 3:
+        at = 4 + int.from_bytes(tag[:4], "big")
+    if flags & 64 and version == 4:
+        at = syncsafe(tag[:4])
+    while at + head <= len(tag) and tag[at] and version in (2, 3, 4):
+        if version == 2:
+            name, n = tag[at : at + 3], int.from_bytes(tag[at + 3 : at + 6], "big")
+        else:
+            name, n = tag[at : at + 4], syncsafe(tag[at + 4 : at + 8]) if version == 4 else int.from_bytes(tag[at + 4 : at + 8], "big")
+        body = tag[at + head : at + head + n]
+        if version == 4 and tag[at + 9] & 2:
+            body = body.replace(b"\xff\x00", b"\xff")
+        if name in (b"TXXX", b"TXX") and body[:1] == b"\0":
+            key, _, value = body[1:].partition(b"\0")
+            out.tags[key.decode("latin-1")] = value.decode("latin-1")
+        elif name[:1] == b"T":
+            out.tags[name.decode("latin-1")] = body[1:].decode("latin-1").rstrip("\0")
+        at += head + n
+
+
 def parse(data: bytes) -> Audio:
     out = Audio()
     at, end = _read_tags(data, out)
@@ -226,8 +251,8 @@ def parse(data: bytes) -> Audio:
         lost = False
         if h.protected:
             body = at + 6
-            if h.layer == 3:
-                ok = crc16(data[at + 2 : at + 4] + data[body : body + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+            if h.layer != 2:
+                ok = crc16(data[at + 2 : at + 4] + data[body : body + h.side + h.alloc]) == int.from_bytes(data[at + 4 : at + 6], "big")
                 out.crc_good += ok
                 out.crc_bad += not ok
             else:
@@ -253,7 +278,11 @@ def _read_table(data: bytes, at: int, body: int, h: Header, out: Audio) -> bool:
         if flags & 2:
             out.table_bytes, pos = int.from_bytes(data[pos : pos + 4], "big"), pos + 4
         if flags & 4:
-            out.seek = list(data[pos : pos + 100])
+            out.seek, pos = list(data[pos : pos + 100]), pos + 100
+        pos += 4 * (flags >> 3 & 1)  # quality
+        if data[pos : pos + 4] in (b"LAME", b"Lavf", b"Lavc") and pos + 24 <= at + h.size:
+            ends = int.from_bytes(data[pos + 21 : pos + 24], "big")
+            out.delay, out.padding = ends >> 12, ends & 0xFFF
         return True
     vbri = at + 36
     if data[vbri : vbri + 4] == b"VBRI" and vbri + 26 <= at + h.size:
