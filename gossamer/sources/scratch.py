@@ -26,7 +26,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written and read back: its lineage is cut and lost executors cost nothing."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def still_there(*tables: DataFrame) -> bool:
+    """Whether tables that ``written`` returned have not been deleted since."""
+    spark = tables[0].sparkSession
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(t._written_to + "/_SUCCESS") for t in tables]
+    return all(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for p in paths)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gossamer.operators.graph import assemble
-from gossamer.sources.scratch import written
+from gossamer.sources.scratch import still_there, written
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +47,7 @@ _BUILT: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 def campaign(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the campaign graphs: assembled and written once a session, then read back."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BUILT:
+    if key not in _BUILT or not still_there(*_BUILT[key]):
         nodes, edges = assemble({k: written(v, f"signal-{k}") if k == "dns" else v for k, v in campaign_signals(spark, sf_dir).items()})
         _BUILT[key] = written(nodes, "nodes"), written(edges, "edges")
     return tuple(df.select("*") for df in _BUILT[key])
