@@ -50,10 +50,11 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, keep the document with the smallest id.
 
-    Texts without words have equal sets of shingles, so one of them stays. Rows that repeat an id stay or go together,
+    Near duplicates have SimHash fingerprints within two bits, or a similarity of 0.8 or more in the exact check that
+    follows. Texts without words are alike by both, so one of them stays. Rows that repeat an id stay or go together,
     and rows without an id stay.
     """
-    groups = simhash.similar_groups(docs, shingle=5)
+    groups = simhash.near_copies(docs, shingle=5)
     copies = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 

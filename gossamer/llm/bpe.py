@@ -38,10 +38,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gossamer.llm.common import appended, extended
+from gossamer.llm.common import appended, extended, released
 
 #: Recently read words a worker keeps the ids of (and as many older ones); the transitions it keeps.
-WORDS, ARCS = 200_000, 400_000
+WORDS, ARCS = 80_000, 200_000
 #: The byte-level vocabularies' pattern, white space being the Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -260,6 +260,7 @@ def compiled(sent) -> Automaton:
     key, parts = sent.value
     if key not in _COMPILED:
         _COMPILED.clear()
+        released()
         _COMPILED[key] = Automaton(**parts)
     return _COMPILED[key]
 

@@ -45,3 +45,29 @@ def test_groups_equal_exact_similarity(docs):
                 words = [f"w{int(r.paretovariate(0.4)) % 5000}" for _ in range(n)]
                 texts += [" ".join(words), changed(words, share, r)]
     same_groups(docs, texts + ["", None, " ", "one", "One", "a b c d e", "a b c d e f"])
+
+
+def test_fingerprints_and_exact_similarity_both_link(docs):
+    """Components over the links of both: brute force of fingerprints within two bits and of similarity."""
+    from tests.llm.test_simhash import brute_fp
+
+    r = random.Random(2)
+    texts = ["", None, "one"]
+    for n in (4, 12, 60, 300):
+        words = [f"w{int(r.paretovariate(0.5)) % 900}" for _ in range(n)]
+        texts += [" ".join(words), changed(words, 0.02, r), " ".join([*words, "x"])]
+    long = " ".join(f"w{k}" for k in range(40))
+    twins = [f"{long} " * 12 + f"{long} ".join(f"q{k}{z} " for k in range(4)) for z in "abcdef"]
+    texts += twins  # repeated shingles weigh on fingerprints, not on sets
+    prints = [brute_fp(t, 5) for t in texts]
+    want = list(brute_similar(texts))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                a, b = want[i], want[j]
+                want = [min(a, b) if x in (a, b) else x for x in want]
+    rows = S.near_copies(docs(texts)).collect()
+    got = {x.doc_id: x.component_id for x in rows}
+    assert [got[i] for i in range(len(texts))] == want and len(rows) == len(texts)
+    assert [x.fingerprint & (1 << 64) - 1 for x in sorted(rows)] == prints
+    assert want != list(brute_similar(texts))  # fingerprints link what sets do not
