@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from gossamer.operators import blocks as B
 from gossamer.operators import graph as G
 from gossamer.operators import links as L
 from gossamer.operators import spectral as S
+from gossamer.operators import walks as W
 from gossamer.plans import queries as Q
 
 
@@ -118,3 +120,85 @@ def test_blocks_equal_the_joined_way(spark, monkeypatch, cells, listed):
     for walk, scored in ((False, L.adamic_adar(n, left)), (True, S.walk_scores(n, left))):
         got = B.density(n, e, hidden, 29, walk).withColumn("density", F.round("density", 4))
         assert near(got) == near(Q._density(scored, hidden).select(got.columns)) and got.count() > 10
+
+
+def hosted(seed, domains=6, servers=40, odd=0):
+    """A connected graph: servers meet domains, systems and a place; ``odd`` links are between any nodes, some of weight zero."""
+    r = random.Random(seed)
+    kinds = {"domain": domains, "ip": servers, "asn": 4, "geo": 2, "registrar": 1, "co_host": 3}
+    names = [(f"{t}{k}", t) for t, n in kinds.items() for k in range(n)]
+    r.shuffle(names)
+    links = {frozenset((f"domain{k}", f"domain{k + 1}")) for k in range(domains - 1)} | {frozenset((f"domain{k}", "registrar0")) for k in range(domains)}
+    links |= {frozenset((f"co_host{k}", f"ip{k}")) for k in range(3)}
+    for k in range(servers):
+        links |= {frozenset((f"ip{k}", f"domain{r.randrange(domains)}")) for _ in range(2)} | {frozenset((f"ip{k}", f"asn{k % 4}")), frozenset((f"ip{k}", f"geo{k % 2}"))}
+    for _ in range(odd):
+        links.add(frozenset(x for x, _ in r.sample(names, 2)))
+    rows = [(f"g{seed}", *r.sample(sorted(p), 2), i, "link", r.choice([0.0, 0.3, 1.0])) for i, p in enumerate(sorted(links, key=sorted))]
+    return [(f"g{seed}", x, i, t) for i, (x, t) in enumerate(names)], rows
+
+
+def hosted_graphs(spark):
+    made = [hosted(0), hosted(1, odd=12), hosted(2, 30, 6, odd=9)]
+    return (
+        spark.createDataFrame([x for n, _ in made for x in n], "graph_id string, node string, node_idx int, type string"),
+        spark.createDataFrame([x for _, e in made for x in e], "graph_id string, src string, dst string, edge_idx int, relation string, weight double"),
+    )
+
+
+@pytest.mark.parametrize("odd", [0, 10])
+def test_walks_from_a_smaller_matrix_equal_those_of_the_whole(odd):
+    """Probabilities, returns, eigenvalues and common neighbours of near and far nodes, which are most."""
+    n, e = (pd.DataFrame(rows, columns=c) for rows, c in zip(hosted(7, odd=odd), (["graph_id", "node", "node_idx", "type"], ["graph_id", "src", "dst", "edge_idx", "relation", "weight"])))
+    graph, a, times = B.Graph(n, e), S.adjacency(n, e)[1], (0.5, 10.0)
+    split = W.Split(graph.n, graph.i, graph.j)
+    assert split.size < 0.8 * graph.n
+    i, j = (x.ravel() for x in np.indices(a.shape))
+    near, links = split.links(graph.i, graph.j, graph.weights(e))
+    assert np.abs(W.probabilities(near, links, times).at(split.spots(i, j)) - S.walk_matrix(a, times).ravel()).max() < 1e-12
+    off = i != j
+    assert np.abs(W.common(split, graph.i, graph.j).at(split.spots(i, j)) - S.common_matrix(S.linked(n, e)).ravel())[off].max() < 1e-12
+    values, vectors = np.linalg.eigh(-a)
+    small, part = W.spectrum(near, links)
+    assert np.allclose(np.sort(np.concatenate([small, np.zeros(graph.n - len(small))])), values, atol=1e-12)
+    for t, found in zip(times, W.returns(small, part, links, times)):
+        want = np.abs(np.diag(S.walk(values, vectors, t))) ** 2
+        assert np.allclose(found, want[np.concatenate([split.near, split.far])], atol=1e-12)
+
+
+def here(nodes, edges, make, schema, most=None):
+    """``_per_graph`` in the test's own process, where patched bounds hold."""
+    most, e = most or S.MAX_NODES, edges.toPandas()
+    names, rows = [x.split()[0] for x in schema.split(", ")], []
+    for g, n in nodes.toPandas().groupby("graph_id"):
+        if len(n) > most:
+            raise ValueError(f"graph {g} has {len(n)} nodes")
+        rows += pd.DataFrame(make(g, n, e[e.graph_id == g]), columns=names).to_dict("records")
+    return rows
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 60])
+def test_recoveries_take_graphs_beyond_the_dense_bound(spark, monkeypatch, cells):
+    """Rows of dense matrices and full sorts, though a matrix may have fewer rows than a graph nodes."""
+    n, e = hosted_graphs(spark)
+    nodes, edges, want = n.toPandas(), e.toPandas(), []
+    for g, part in nodes.groupby("graph_id"):
+        links = edges[edges.graph_id == g]
+        for seed in (0, 3):
+            gone = S.hide(part, links, seed=seed)
+            left = links.drop(links.index[gone])
+            i, j, _ = S.open_pairs(part["type"].tolist(), S.linked(part, left))
+            was = S.linked(part, links)[i, j]
+            for method, score in (("walk", S.walk_matrix(S.adjacency(part, left)[1])), ("common", S.common_matrix(S.linked(part, left))), ("random", None)):
+                ranks = np.flatnonzero(was[S.ordered(np.random.default_rng(seed).random(len(i)) if score is None else score[i, j], i, j)]) + 1
+                want.append((g, seed, method, len(gone), len(ranks), len(i), round(float((1 / ranks).sum() / len(ranks)), 9), round(float(ranks.mean()), 9), float((ranks <= 5).sum() / len(gone))))
+    monkeypatch.setattr(S, "MAX_NODES", 50)
+    monkeypatch.setattr(B, "CELLS", cells)
+    names = ("graph_id", "seed", "method", "n_hidden", "n_found", "n_candidates", "mrr", "mean_rank", "hits_5")
+    rows = lambda got: sorted(tuple(round(r[c], 9) if c in ("mrr", "mean_rank") else r[c] for c in names) for r in got)
+    assert rows(S.recoveries(n, e, seeds=(0, 3)).collect()) == sorted(want) and len(want) == 18
+    monkeypatch.setattr(S, "_per_graph", here)
+    assert rows(S.recoveries(n, e, seeds=(0, 3))) == sorted(want)
+    monkeypatch.setattr(S, "MAX_NODES", 10)
+    with pytest.raises(ValueError, match="dense operators take 10"):
+        S.recoveries(n, e)
