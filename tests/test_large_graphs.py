@@ -202,3 +202,17 @@ def test_recoveries_take_graphs_beyond_the_dense_bound(spark, monkeypatch, cells
     monkeypatch.setattr(S, "MAX_NODES", 10)
     with pytest.raises(ValueError, match="dense operators take 10"):
         S.recoveries(n, e)
+
+
+def test_fingerprints_take_graphs_beyond_the_dense_bound(spark, monkeypatch):
+    n, e = hosted_graphs(spark)
+    nodes, edges = n.toPandas(), e.toPandas()
+    monkeypatch.setattr(S, "_per_graph", here)
+    monkeypatch.setattr(S, "MAX_NODES", 50)
+    for method in ("combined", "eigenvalue_histogram", "return_probability"):
+        got = {r["graph_id"]: r["phi"] for r in S.fingerprints(n, e, method)}
+        assert len(got) == 3
+        for g, phi in got.items():
+            part = nodes[nodes.graph_id == g]
+            assert len(part) > 50 or g == "g2"
+            assert np.allclose(phi, S.fingerprint(S.adjacency(part, edges[edges.graph_id == g])[1], method=method), atol=1e-12)
