@@ -216,3 +216,14 @@ def test_fingerprints_take_graphs_beyond_the_dense_bound(spark, monkeypatch):
             part = nodes[nodes.graph_id == g]
             assert len(part) > 50 or g == "g2"
             assert np.allclose(phi, S.fingerprint(S.adjacency(part, edges[edges.graph_id == g])[1], method=method), atol=1e-12)
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 60])
+def test_top_links_take_graphs_beyond_the_dense_bound(spark, monkeypatch, cells):
+    n, e = hosted_graphs(spark)
+    monkeypatch.setattr(S, "_per_graph", here)
+    rows = lambda got: [r | {"score": round(r["score"], 12)} for r in got]
+    want = rows(S._top_links(n, e, 20, lambda n, e: S.walk_matrix(S.adjacency(n, e)[1])))
+    monkeypatch.setattr(S, "MAX_NODES", 50)
+    monkeypatch.setattr(B, "CELLS", cells)
+    assert rows(S.top_walk_links(n, e, 20)) == want and len(want) == 60
