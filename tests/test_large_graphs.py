@@ -227,3 +227,16 @@ def test_top_links_take_graphs_beyond_the_dense_bound(spark, monkeypatch, cells)
     monkeypatch.setattr(S, "MAX_NODES", 50)
     monkeypatch.setattr(B, "CELLS", cells)
     assert rows(S.top_walk_links(n, e, 20)) == want and len(want) == 60
+
+
+def test_candidates_of_any_size_are_listed_in_tasks(spark, monkeypatch):
+    """One shuffle of nodes and links, then batches of few rows: no graph's candidates are joined."""
+    monkeypatch.setattr(B, "LISTED", 7)
+    n, e = random_graphs(spark, sizes=((3100, 2), (60, 90), (2, 0)))
+    n = n.where("graph_id <> 'g0' OR node_idx < 3 OR type = 'ip'").withColumn("type", F.when((F.col("graph_id") == "g0") & (F.col("node_idx") < 3), "asn").otherwise(F.col("type")))
+    e = e.where("graph_id <> 'g0'")
+    for got, want in ((B.candidates(n, e), L.candidates(n, e)), (B.adamic_adar(n, e), L.adamic_adar(n, e))):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Join" not in plan
+        near = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(got.columns).collect())  # noqa: B023, E731
+        assert near(got) == near(want) and got.groupBy("graph_id").count().count() == 2
