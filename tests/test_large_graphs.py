@@ -240,3 +240,27 @@ def test_candidates_of_any_size_are_listed_in_tasks(spark, monkeypatch):
         assert plan.count("Exchange") == 1 and "Join" not in plan
         near = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(got.columns).collect())  # noqa: B023, E731
         assert near(got) == near(want) and got.groupBy("graph_id").count().count() == 2
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 40])
+def test_candidates_without_common_neighbours_are_counted_not_made(spark, monkeypatch, cells):
+    """Ranks and densities equal those of all candidates in order, though only those with common neighbours are made."""
+    monkeypatch.setattr(B, "CELLS", cells)
+    monkeypatch.setattr(B.Graph, "open", None)
+    monkeypatch.setattr(B.Graph, "pairs", None)
+    monkeypatch.setattr(S, "_per_graph", here)
+    n, e = random_graphs(spark, sizes=((40, 30), (60, 90), (60, 300)))
+    hidden = e.where("edge_idx % 5 = 0").select("graph_id", "src", "dst")
+    nodes, edges, ranked, zeros = n.toPandas(), e.toPandas(), {}, 0
+    for g, part in nodes.groupby("graph_id"):
+        links = edges[edges.graph_id == g]
+        left = links[links.edge_idx % 5 != 0]
+        i, j, _ = S.open_pairs(part["type"].tolist(), S.linked(part, left))
+        score = S.common_matrix(S.linked(part, left))[i, j]
+        was = S.linked(part, links)[i, j]
+        zeros += int((score[was] == 0).sum())
+        at = np.flatnonzero(was[S.ordered(score, i, j)]) + 1
+        ranked[g] = (len(links) - len(left), len(at), len(i), round(float(at.mean()), 9), round(float((1 / at).sum() / len(at)), 9))
+    got = {r["graph_id"]: (r["n_hidden"], r["n_found"], r["n_candidates"], round(r["mean_rank"], 9), round(r["mrr"], 9)) for r in B.recovery(n, e, hidden)}
+    assert got == ranked and zeros > 5
+    assert {(r["graph_id"], r["hidden"]) for r in B.density(n, e, hidden, 29)} == {(g, h) for g in ranked for h in (False, True)}
