@@ -264,3 +264,15 @@ def test_candidates_without_common_neighbours_are_counted_not_made(spark, monkey
     got = {r["graph_id"]: (r["n_hidden"], r["n_found"], r["n_candidates"], round(r["mean_rank"], 9), round(r["mrr"], 9)) for r in B.recovery(n, e, hidden)}
     assert got == ranked and zeros > 5
     assert {(r["graph_id"], r["hidden"]) for r in B.density(n, e, hidden, 29)} == {(g, h) for g in ranked for h in (False, True)}
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 60])
+def test_walk_densities_take_graphs_beyond_the_dense_bound(spark, monkeypatch, cells):
+    n, e = hosted_graphs(spark)
+    hidden = S.hidden_links(n, e, clamp=False)
+    want = sorted(map(tuple, Q._density(S.walk_scores(n, e.join(hidden, ["graph_id", "src", "dst"], "left_anti")), hidden).collect()))
+    monkeypatch.setattr(S, "_per_graph", here)
+    monkeypatch.setattr(S, "MAX_NODES", 50)
+    monkeypatch.setattr(B, "CELLS", cells)
+    got = B.density(n, e, hidden, 29, walk=True)
+    assert sorted((r["graph_id"], r["hidden"], r["bin"], round(r["density"], 4)) for r in got) == want and len(want) > 20
