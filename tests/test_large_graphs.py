@@ -276,3 +276,18 @@ def test_walk_densities_take_graphs_beyond_the_dense_bound(spark, monkeypatch, c
     monkeypatch.setattr(B, "CELLS", cells)
     got = B.density(n, e, hidden, 29, walk=True)
     assert sorted((r["graph_id"], r["hidden"], r["bin"], round(r["density"], 4)) for r in got) == want and len(want) > 20
+
+
+def test_graphs_are_assembled_by_hashing(spark):
+    """No sort by pairs or nodes, and the same graphs whatever the order of rows: types, directions and weights by signal."""
+    dns = spark.createDataFrame([("g", "b", "a", 0.2), ("g", "b", "a", 0.7), ("g", "c", "d", None), ("g", "x", None, 1.0)], "graph_id string, domain string, ip string, weight double")
+    cert = spark.createDataFrame([("g", "c", "b"), ("g", "b", "c"), ("g", "c", "c")], "graph_id string, domain string, peer string")
+    asn = spark.createDataFrame([("g", "d", "c"), ("g", "a", "n")], "graph_id string, ip string, asn string")
+    root = spark.createDataFrame([("g", "r"), ("g", "d")], "graph_id string, node string")
+    n, e = G.assemble({"dns": dns, "cert": cert, "asn": asn}, protect_root=False, roots=root)
+    assert "SortAggregate" not in n._jdf.queryExecution().toString() + e._jdf.queryExecution().toString()
+    assert [tuple(r)[1:] for r in n.orderBy("node_idx").collect()] == [("d", 0, "ip"), ("r", 1, "domain"), ("b", 2, "cert_peer"), ("c", 3, "asn"), ("a", 4, "ip"), ("n", 5, "asn")]
+    want = [("b", "a", "resolves-to", 0.7), ("c", "d", "hosted-in", 1.0), ("b", "c", "shares-cert", 1.0), ("c", "c", "shares-cert", 1.0), ("a", "n", "hosted-in", 1.0)]
+    assert [(r.src, r.dst, r.relation, r.weight) for r in e.orderBy("edge_idx").collect()] == want
+    kinds = {r.node: r.type for r in G.assemble({"dns": dns, "cert": cert, "asn": asn}, roots=root)[0].collect()}
+    assert kinds == {"d": "domain", "r": "domain", "b": "domain", "c": "domain", "a": "ip", "n": "asn"}
